@@ -5,8 +5,10 @@ from hearth.llm.q_decontam import OP5_SQL, op5_decontaminate
 from hearth.llm.q_shard import op3_shard
 from hearth.llm.q_simhash import op1_simhash
 from hearth.llm.q_bpe import op7_bpe
+from hearth.llm.q_repeats import op9_repeats
 
 QUERIES = {
+    "op9_repeats": op9_repeats,
     "op7_bpe": op7_bpe,
     "op1_simhash": op1_simhash,
     "op3_shard": op3_shard,
