@@ -6,8 +6,10 @@ from hearth.llm.q_shard import op3_shard
 from hearth.llm.q_simhash import op1_simhash
 from hearth.llm.q_bpe import op7_bpe
 from hearth.llm.q_repeats import op9_repeats
+from hearth.llm.q_quality import op6_quality
 
 QUERIES = {
+    "op6_quality": op6_quality,
     "op9_repeats": op9_repeats,
     "op7_bpe": op7_bpe,
     "op1_simhash": op1_simhash,
