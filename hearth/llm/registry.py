@@ -7,8 +7,10 @@ from hearth.llm.q_simhash import op1_simhash
 from hearth.llm.q_bpe import op7_bpe
 from hearth.llm.q_repeats import op9_repeats
 from hearth.llm.q_quality import op6_quality
+from hearth.llm.q_pii import op10_pii
 
 QUERIES = {
+    "op10_pii": op10_pii,
     "op6_quality": op6_quality,
     "op9_repeats": op9_repeats,
     "op7_bpe": op7_bpe,
