@@ -8,8 +8,10 @@ from hearth.llm.q_bpe import op7_bpe
 from hearth.llm.q_repeats import op9_repeats
 from hearth.llm.q_quality import op6_quality
 from hearth.llm.q_pii import op10_pii
+from hearth.llm.q_ann import op4_ann
 
 QUERIES = {
+    "op4_ann": op4_ann,
     "op10_pii": op10_pii,
     "op6_quality": op6_quality,
     "op9_repeats": op9_repeats,
