@@ -9,8 +9,10 @@ from hearth.llm.q_repeats import op9_repeats
 from hearth.llm.q_quality import op6_quality
 from hearth.llm.q_pii import op10_pii
 from hearth.llm.q_ann import op4_ann
+from hearth.llm.q_licence import op2_licences
 
 QUERIES = {
+    "op2_licences": op2_licences,
     "op4_ann": op4_ann,
     "op10_pii": op10_pii,
     "op6_quality": op6_quality,
