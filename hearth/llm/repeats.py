@@ -91,9 +91,16 @@ def anchors(raw: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nda
     return at, hashes[at].view(np.int64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """A few texts at a time: what is made of them is many times their size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1024):
             grams, places = [], []
             for key, text in zip(batch.column("tkey").to_pylist(), batch.column("text").to_pylist()):
                 at, hashes = anchors(np.frombuffer(text.encode(), np.uint8), length, gram)
@@ -111,7 +118,7 @@ def _context_rows(bits, length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
+        for batch in _slices(batches):
             rows, done = [], set()
             for key, text in zip(batch.column("tkey").to_pylist(), batch.column("text").to_pylist()):
                 if key in done:
@@ -129,10 +136,7 @@ def _context_rows(bits, length: int, gram: int):
 
 def _matrix(strings: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    out = np.zeros((len(strings), reach), np.uint8)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = np.frombuffer(s, np.uint8)
-    return out, sizes
+    return np.frombuffer(b"".join(s.ljust(reach, b"\0") for s in strings), np.uint8).reshape(len(strings), reach), sizes
 
 
 def _common(rows: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> list[int]:
@@ -174,36 +178,105 @@ def maximal_repeats(before: list[bytes], after: list[bytes], reach: int) -> Iter
                 yield width, depth, group
 
 
+def extents(before: list[bytes], after: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far maximal repeats with `reach` outside the anchor go to the left and right of each context; -1: none.
+
+    In an interval a member's longest left match is with a neighbour in the order of the left contexts, so no repeat's
+    members have to be listed.
+    """
+    left, left_sizes = _matrix([b[::-1] for b in before], reach)
+    right, right_sizes = _matrix(after, reach)
+    lead, tail = np.full(len(before), -1), np.full(len(before), -1)
+    order = np.array(sorted(range(len(after)), key=after.__getitem__))
+    rank_left = np.empty(len(before), np.int64)
+    rank_left[sorted(range(len(before)), key=lambda i: before[i][::-1])] = np.arange(len(before))
+    for first, last, depth in intervals(_common(right, right_sizes, order), 0):
+        members = order[first : last + 1]
+        by_left = members[np.argsort(rank_left[members])]
+        near = np.array(_common(left, left_sizes, by_left))
+        best = np.maximum(np.append(near, -1), np.insert(near, 0, -1))
+        ok = best >= reach - depth
+        lead[by_left[ok]] = np.maximum(lead[by_left[ok]], best[ok])
+        tail[by_left[ok]] = np.maximum(tail[by_left[ok]], depth)
+    return lead, tail
+
+
+def pair_extents(before: list[bytes], after: list[bytes], reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many grams with two contexts each: an interval of two members; rows 2 i and 2 i + 1 are a gram."""
+    sides = []
+    for strings in ([b[::-1] for b in before], after):
+        rows, sizes = _matrix(strings, reach)
+        differ = rows[::2] != rows[1::2]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), reach)
+        sides.append(np.minimum(first, np.minimum(sizes[::2], sizes[1::2])))
+    ok = sides[0] + sides[1] >= reach
+    return np.repeat(np.where(ok, sides[0], -1), 2), np.repeat(np.where(ok, sides[1], -1), 2)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[tuple]]]:
+    """Rows (context, before, after, n) of one gram after another; the batches are sorted by gram."""
+    key, rows = None, []
+    for batch in _slices(batches, 1024):
+        for gram, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "before", "after", "n"))):
+            if gram != key:
+                if rows:
+                    yield key, rows
+                key, rows = gram, []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _extent_rows(length: int, gram: int):
+    reach = length - gram
+    kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, out = [], []
+
+        def take(keys, rows, found):
+            for key, (context, before, after, n), lead, tail in zip(keys, rows, *(x.tolist() for x in found)):
+                if n > 1 and len(before) + len(after) >= reach:  # a context that occurs more than once repeats as a whole
+                    lead, tail = len(before), len(after)
+                if lead >= 0:
+                    out.append((key, context, lead, tail))
+
+        def flush():
+            if pairs:
+                keys, rows = [k for k, _ in pairs for _ in (0, 1)], [r for _, two in pairs for r in two]
+                take(keys, rows, pair_extents([r[1] for r in rows], [r[2] for r in rows], reach))
+                pairs.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 4, kinds)], names=["gram", "context", "lead", "tail"])
+            out.clear()
+            return batch
+
+        for key, rows in _grouped(batches):
+            if len(rows) == 2:
+                pairs.append((key, rows))
+            elif len(rows) == 1:
+                take([key], rows, (np.array([-1]), np.array([-1])))
+            else:
+                take([key] * len(rows), rows, extents([r[1] for r in rows], [r[2] for r in rows], reach))
+            if len(pairs) + len(out) > 2048:
+                yield flush()
+        yield flush()
+
+    return run
+
+
 def _repeat_rows(length: int, gram: int):
+    """One row for each maximal repeat, with its contexts in a list."""
     reach = length - gram
-    kinds = pa.schema([("repeat", pa.string()), ("bytes", pa.int32()), ("context", pa.int64()), ("lead", pa.int32()), ("tail", pa.int32())])
-
-    def groups(batches):
-        key, rows = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "before", "after", "n"))):
-                if row[0] != key:
-                    if rows:
-                        yield key, rows
-                    key, rows = row[0], []
-                rows.append(row)
-        if rows:
-            yield key, rows
+    kinds = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for key, rows in groups(batches):
-            for _, context, before, after, n in rows:  # a context that occurs more than once repeats as a whole
-                if n > 1 and len(before) + len(after) >= reach:
-                    out.append((f"{key.hex()}:{context}", len(before) + gram + len(after), context, len(before), len(after)))
+        for key, rows in _grouped(batches):
+            out = [(key, f"{key.hex()}:{c}", len(b) + gram + len(a), len(b), [c]) for c, b, a, n in rows if n > 1 and len(b) + len(a) >= reach]
             if len(rows) > 1:
-                for number, (lead, tail, members) in enumerate(maximal_repeats([r[2] for r in rows], [r[3] for r in rows], reach)):
-                    out += [(f"{key.hex()}#{number}", lead + gram + tail, rows[m][1], lead, tail) for m in members]
-            if len(out) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+                found = maximal_repeats([r[1] for r in rows], [r[2] for r in rows], reach)
+                out += [(key, f"{key.hex()}#{i}", lead + gram + tail, lead, [rows[m][0] for m in members]) for i, (lead, tail, members) in enumerate(found)]
+            for start in range(0, len(out), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[start : start + 1024]), kinds)], names=["gram", "repeat", "bytes", "lead", "contexts"])
 
     return run
 
@@ -213,7 +286,7 @@ def _windows_of_contexts(length: int, gram: int):
     reach = length - gram
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for key, context, before, after in zip(*(batch.column(c).to_pylist() for c in ("gram", "context", "before", "after"))):
                 for lead in range(max(0, reach - len(after)), min(reach, len(before)) + 1):
@@ -244,21 +317,21 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     cells = texts_of.join(contexts.join(sizes, "gram"), ["gram", "context"])
     cells = settle(cells.select("gram", "context", "before", "after", "n", "contexts"), "cells")
     usual = cells.filter(F.col("contexts") <= most).repartition("gram").sortWithinPartitions("gram", "context")
-    repeats = usual.mapInArrow(_repeat_rows(length, gram), "repeat string, bytes int, context long, lead int, tail int")
-    repeats = settle(repeats.withColumn("gram", F.unhex(F.substring("repeat", 1, 32))), "repeats")
+    wide = usual.mapInArrow(_extent_rows(length, gram), "gram binary, context long, lead int, tail int")
 
     wins = cells.filter(F.col("contexts") > most).mapInArrow(_windows_of_contexts(length, gram), "window binary, context long, lead int, tail int")
     wins = wins.join(cells.filter(F.col("contexts") > most).select("context", "gram", "n").distinct(), "context")
     often = wins.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1")
     many = wins.join(often.select("window"), "window").select("gram", "context", "lead", "tail")
-    widest = repeats.select("gram", "context", "lead", "tail").unionByName(many).groupBy("gram", "context").agg(F.max("lead").alias("lead"), F.max("tail").alias("tail"))
+    widest = wide.unionByName(many).groupBy("gram", "context").agg(F.max("lead").alias("lead"), F.max("tail").alias("tail"))
     spans = places.join(widest, ["gram", "context"]).select("tkey", (F.col("at") - F.col("lead")).alias("at"), (F.col("at") + gram + F.col("tail")).alias("until"))
-    occurrences = repeats.join(places, ["gram", "context"]).select("repeat", "bytes", "tkey", (F.col("at") - F.col("lead")).alias("at"))
-    return occurrences, spans
+    groups = usual.mapInArrow(_repeat_rows(length, gram), "gram binary, repeat string, bytes int, lead int, contexts array<long>")
+    occurrences = groups.select("gram", "repeat", "bytes", "lead", F.explode("contexts").alias("context")).join(places, ["gram", "context"])
+    return occurrences.select("repeat", "bytes", "tkey", (F.col("at") - F.col("lead")).alias("at")), spans
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         cols = [[], [], [], [], []]
         for doc_id, text, ats, untils in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "ats", "untils"))):
             data, kept, end, removed, runs = text.encode(), [], 0, 0, 0
