@@ -1,6 +1,6 @@
 """Query of the pseudonyms."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.llm.pii import pseudonymise
@@ -11,7 +11,11 @@ KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 KEY = "public-test-key"
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
-    counts = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [_count(k).alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", F.size("pii").cast("long").alias("n_values"), *counts, "text")
