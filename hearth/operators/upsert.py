@@ -65,6 +65,6 @@ def refresh_day(key: Column) -> Column:
 
 def merge_values(keep: DataFrame, gone: DataFrame, filled: list[str]) -> DataFrame:
     """The keeper's values, its gaps filled from the rows merged into it (smallest id first)."""
-    lost = gone.groupBy("merged_into").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"g_{c}") for c in filled])
-    out = keep.join(lost, keep["id"] == lost["merged_into"], "left").drop(lost["merged_into"])
+    lost = gone.groupBy(F.col("merged_into").alias("id")).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"g_{c}") for c in filled])
+    out = keep.join(lost, "id", "left")
     return out.select("id", *[F.coalesce(c, f"g_{c}").alias(c) for c in filled])

@@ -14,9 +14,10 @@ from hearth.session import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet files as a stream; ts becomes an instant, as watermarks need."""
+    """A Parquet file or folder as a stream; ts becomes an instant, as watermarks need."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    any_kind = f"{path[:-1]}[{path[-1]}]"  # a plain path has to be a folder, a pattern may match a file
+    return spark.readStream.schema(schema).parquet(any_kind).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
