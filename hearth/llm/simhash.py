@@ -8,6 +8,11 @@ number of differing bits, a pair whose tables differ by more than the radius in
 are verified. Cells of many fingerprints are compared in pairs of bounded chunks, and each task gives a spanning
 forest of its links, never all pairs.
 
+`deduplicate` also finds texts of a given similarity (the Jaccard coefficient of their sets of shingles), which differ
+in too many bits for blocks to agree: there the cells are bands of minima of the shingles' hashes (a pair of similarity
+0.8 shares one of the 12 with a chance of 0.998), the pivot tables discard with a wider radius, and survivors are
+verified by their sets of shingles (by the 1024 least hashes of each set where one has more).
+
 Null and empty texts have fingerprint zero and link with each other. Null doc_ids get the component's smallest doc_id.
 Repeated rows get equal results; an empty table gives none; other columns are ignored by `near_duplicates` and kept by
 `deduplicate`.
@@ -30,24 +35,56 @@ from hearth.session import settle
 
 PIVOTS = 32
 CHUNK = 512
+#: Bands and minima in a band; hashes that stand for a set of shingles; differing bits that similar texts may have.
+BANDS, BAND_ROWS, SKETCH, WIDE = 12, 4, 1024, 24
+_TURNS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 9) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle, repeats included."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(words))
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype="<u8")
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for part in range(0, len(hashes), 65_536):
         ones += np.unpackbits(hashes[part : part + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Unsigned 64-bit fingerprint."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """Band keys of a set of shingles, and its hashes (32 bits each, sorted; the SKETCH least of them)."""
+    if not len(hashes):
+        return [], b""
+    least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for part in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[part : part + 4096, None] * _TURNS).min(axis=0), out=least)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist(), np.unique((hashes >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard coefficient of two sketches: exact if neither set was cut."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    if len(a) < SKETCH and len(b) < SKETCH:
+        return len(both) / (len(a) + len(b) - len(both))
+    union = np.union1d(a, b)[:SKETCH]
+    return len(np.intersect1d(both, union, assume_unique=True)) / len(union)
+
+
 def fingerprint_udf(shingle: int):
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -107,6 +144,53 @@ def links_in_cells(cell: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius:
     return fps[child], fps[root[child]]
 
 
+def similar_in_cells(cell: np.ndarray, fps: np.ndarray, sets: list[bytes], refs: np.ndarray, similarity: float, radius: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
+    """As links_in_cells, for pairs whose sketches are similar; pairs that are connected already aren't verified."""
+    table, own = distance_table(fps, refs), [np.frombuffer(s, "<u4") for s in sets]
+    sizes, root = np.array([len(s) for s in own]), np.arange(len(fps))
+    at, step, found = np.arange(len(fps)), 1, []
+    while True:
+        at = at[at + step < len(fps)]
+        at = at[cell[at] == cell[at + step]]
+        if not len(at):
+            break
+        left = at[root[at] != root[at + step]]
+        few, many = np.minimum(sizes[left], sizes[left + step]), np.maximum(sizes[left], sizes[left + step])
+        left = left[few >= similarity * many]
+        for part in range(0, len(refs), 8):
+            left = left[np.abs(table[left, part : part + 8] - table[left + step, part : part + 8]).max(axis=1, initial=0) <= radius]
+        left = left[np.bitwise_count(fps[left] ^ fps[left + step]) <= radius]
+        new = [i for i in left.tolist() if similarity_of(own[i], own[i + step]) >= similarity]
+        if new:
+            found += [(i, i + step) for i in new]
+            root = local_roots(len(fps), *np.array(found).T)
+        step += 1
+    child = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[child], fps[root[child]]
+
+
+def _similar_batches(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs, kept = pivots(), None
+
+        def linked(rows: pa.Table):
+            a, b = similar_in_cells(rows["cell"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["shingles"].to_pylist(), refs, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([kept, rows]) if kept else rows
+            cell = rows["cell"].to_numpy()
+            last = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on in the next batch
+            if last:
+                yield linked(rows.slice(0, last))
+            kept = rows.slice(last)
+        if kept:
+            yield linked(kept)
+
+    return run
+
+
 def _link_batches(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs, kept_cell, kept_fp = pivots(), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -135,13 +219,25 @@ def link(prints: DataFrame, radius: int = 3, blocks: int | None = None, chunk: i
     masks = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(sum(masks[j] for j in c))))) for i, c in enumerate(combinations(range(blocks), blocks - radius))]
-    cells = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+    rows = chunked_cells(prints.select("fp", F.explode(F.array(*keys)).alias("key")), chunk)
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_batches(radius), "a long, b long").distinct()
+
+
+def chunked_cells(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """key, fp and others -> cell and the rest: keys of several rows, those of many as pairs of bounded chunks."""
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
-    rows = cells.join(shared, "key").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
+    rows = cells.join(shared, "key").withColumn("own", F.pmod(F.xxhash64(*[c for c in cells.columns if c != "key"], F.lit(1)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp")
-    rows = rows.repartition("cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(_link_batches(radius), "a long, b long").distinct()
+    return rows.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("key", "n", "parts", "own", "other")
+
+
+def similar(texts: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Different texts' sketches (fp, bands, shingles) -> links (a, b) of similar ones."""
+    texts = texts.withColumn("text_no", F.xxhash64("shingles"))
+    # only keys and numbers are put into cells; the sets join what is left
+    rows = chunked_cells(texts.select("fp", "text_no", F.explode("bands").alias("key")), chunk).join(texts.select("fp", "text_no", "shingles"), ["fp", "text_no"])
+    rows = rows.select("cell", "fp", "shingles").repartition("cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(_similar_batches(similarity), "a long, b long").distinct()
 
 
 def group(prints: DataFrame, radius: int = 3) -> DataFrame:
@@ -158,14 +254,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return prints.join(group(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 3) -> DataFrame:
-    """One document of each component stays, with all its columns: that of the smallest doc_id (null last)."""
-    kept = settle(docs.withColumn("__hearth_fp", fingerprint_udf(shingle)("text")), "fingerprinted")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
-    slim = kept.select("doc_id", F.col("__hearth_fp").alias("fp"), key.alias("k"))
-    each = slim.groupBy("fp").agg(F.min("k").alias("k"))
-    roots = components(link(each.select("fp"), radius)).withColumnRenamed("node", "fp")
-    each = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("k", "fp")).alias("best"))
-    best = each.select(F.col("best.fp").alias("__hearth_fp"), F.col("best.k").alias("__hearth_k"))
-    # equal rows: one of them stays
-    return kept.join(best, "__hearth_fp").filter(key == F.col("__hearth_k")).dropDuplicates(["__hearth_fp"]).select(*docs.columns)
+def sketch_udf(shingle: int):
+    @F.pandas_udf("fp long, bands array<long>, shingles binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        hashes = [shingle_hashes(t, shingle) for t in texts]
+        rows = [(np.uint64(majority(h)).view(np.int64) if len(h) else 0, *sketch(h)) for h in hashes]
+        return pd.DataFrame(rows, columns=["fp", "bands", "shingles"])
+
+    return of
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
+    """One document of each component stays, with all its columns: that of the smallest doc_id (null last).
+
+    Links: fingerprints within the radius, and texts of the similarity.
+    """
+    k = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("h")]
+    slim = settle(docs.select(*k, sketch_udf(shingle)("text").alias("s")).select("none", "doc_id", "h", "s.*"), "fingerprinted")
+    each = slim.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "h")).alias("k"))
+    links = link(each.select("fp"), radius).unionByName(similar(slim.select("fp", "bands", "shingles").dropDuplicates(["fp", "shingles"]), similarity))
+    roots = components(links).withColumnRenamed("node", "fp")
+    best = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k")).select("k.*")
+    names = [f"__hearth_{n}" for n in ("none", "doc_id", "h")]
+    rows = docs.withColumns(dict(zip(names, k))).join(best.toDF(*names), names)
+    return rows.dropDuplicates(names).select(*docs.columns)  # equal rows: one of them stays
