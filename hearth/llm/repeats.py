@@ -105,7 +105,7 @@ def _anchor_rows(length: int, gram: int):
             for key, text in zip(batch.column("tkey").to_pylist(), batch.column("text").to_pylist()):
                 at, hashes = anchors(np.frombuffer(text.encode(), np.uint8), length, gram)
                 grams.append(hashes)
-                places.append(at ^ np.int64(int(key[:16], 16) - (1 << 63)))
+                places.append(at ^ np.frombuffer(key[:8], "<i8"))
             one = pa.table({"gram": np.concatenate(grams or [np.empty(0, np.int64)]), "place": np.concatenate(places or [np.empty(0, np.int64)])})
             one = one.group_by("gram").aggregate([("place", "min"), ("place", "max")])  # of this batch; Spark goes on
             yield from one.select(["gram", "place_min", "place_max"]).rename_columns(["gram", "low", "high"]).to_batches()
@@ -114,12 +114,15 @@ def _anchor_rows(length: int, gram: int):
 
 
 def _context_rows(bits, length: int, gram: int):
+    """A row for each anchor of a repeated gram; a task gives the bytes of a context once."""
     reach = length - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.frombuffer(bits.value, np.uint8)
+        own, told = np.frombuffer(bits.value, np.uint8), set()
         for batch in _slices(batches):
             rows, done = [], set()
+            if len(told) > 1 << 18:
+                told.clear()
             for key, text in zip(batch.column("tkey").to_pylist(), batch.column("text").to_pylist()):
                 if key in done:
                     continue
@@ -127,9 +130,15 @@ def _context_rows(bits, length: int, gram: int):
                 data = text.encode()
                 at, hashes = anchors(np.frombuffer(data, np.uint8), length, gram)
                 for a in at[may_hold(own, hashes)].tolist() if len(at) else ():
-                    rows.append((xxhash.xxh3_128_digest(data[a : a + gram]), key, a, data[max(0, a - reach) : a], data[a + gram : a + gram + reach]))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["gram", "tkey", "at", "before", "after"])
+                    before, after = data[max(0, a - reach) : a], data[a + gram : a + gram + reach]
+                    name = xxhash.xxh3_128_digest(data[a : a + gram])
+                    context = xxhash.xxh3_64_intdigest(len(before).to_bytes(4, "little") + before + after) - (1 << 63)
+                    if (name, context) in told:
+                        before = after = None
+                    told.add((name, context))
+                    rows.append((name, context, key, a, before, after))
+            cols = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["gram", "context", "tkey", "at", "before", "after"])
 
     return run
 
@@ -299,7 +308,7 @@ def _windows_of_contexts(length: int, gram: int):
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.md5(text).alias("tkey"), text.alias("text"))
+    return docs.select(F.unhex(F.md5(text)).alias("tkey"), text.alias("text"))
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[DataFrame, DataFrame]:
@@ -307,13 +316,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most:
     texts = keyed_texts(docs)
     seen = texts.mapInArrow(_anchor_rows(length, gram), "gram long, low long, high long").groupBy("gram").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     bits = bitmap(seen.filter("low < high").select("gram"))
-    schema = "gram binary, tkey string, at int, before binary, after binary"
-    found = texts.mapInArrow(_context_rows(bits, length, gram), schema).withColumn("context", F.xxhash64("before", "after", F.octet_length("before")))
-    found = settle(found, "contexts")
+    schema = "gram binary, context long, tkey binary, at int, before binary, after binary"
+    found = settle(texts.mapInArrow(_context_rows(bits, length, gram), schema), "contexts")
     places = found.select("gram", "context", "tkey", "at").distinct()  # copies of a text give each place once
     contexts = places.groupBy("gram", "context").agg(F.count("*").alias("n"))
     sizes = contexts.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("places")).filter("places > 1")
-    texts_of = found.groupBy("gram", "context").agg(F.first("before").alias("before"), F.first("after").alias("after"))
+    texts_of = found.filter("before is not null").groupBy("gram", "context").agg(F.first("before").alias("before"), F.first("after").alias("after"))
     cells = texts_of.join(contexts.join(sizes, "gram"), ["gram", "context"])
     cells = settle(cells.select("gram", "context", "before", "after", "n", "contexts"), "cells")
     usual = cells.filter(F.col("contexts") <= most).repartition("gram").sortWithinPartitions("gram", "context")
@@ -354,9 +362,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     _, spans = find_repeats(docs, length, gram, most)
     merged = spans.groupBy("tkey").agg(F.collect_set(F.struct("at", "until")).alias("s")).select("tkey", F.col("s.at").alias("ats"), F.col("s.until").alias("untils"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long"), F.md5(text).alias("tkey"), text.alias("text"))
+    keyed = docs.select(F.col("doc_id").cast("long"), F.unhex(F.md5(text)).alias("tkey"), text.alias("text"))
     size = F.octet_length(text)
-    copies = docs.filter(size >= length).groupBy(F.md5(text).alias("tkey")).agg(F.count("*").alias("n"), F.max(size).alias("size")).filter("n > 1")
+    copies = docs.filter(size >= length).groupBy(F.unhex(F.md5(text)).alias("tkey")).agg(F.count("*").alias("n"), F.max(size).alias("size")).filter("n > 1")
     whole = copies.select("tkey", F.array(F.lit(0)).alias("ats"), F.array("size").alias("untils"))
     cuts = merged.join(copies, "tkey", "left_anti").unionByName(whole)
     return keyed.join(cuts, "tkey", "left").select("doc_id", "text", "ats", "untils").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
