@@ -126,7 +126,7 @@ class Network:
 
     def __init__(self, features: np.ndarray, labels: np.ndarray, hidden: int = 32, epochs: int = 40, seed: int = 5):
         self.base = float(labels.mean()) if len(labels) else 0.5
-        self.fitted = 0 < self.base < 1
+        self.fitted = len(labels) > 0 and 0 < self.base < 1
         if not self.fitted:
             return
         rng = np.random.default_rng(seed)

@@ -18,6 +18,8 @@ from hearth.session import settle
 
 #: Rows that one window of the ranking holds, about.
 RUN_ROWS = 50_000
+#: Linked rows that a shard may hold while labels move, in shares of all rows; what is over a share goes on in whole runs.
+SLACK = 1.25
 
 
 def propagate(blocks: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
@@ -60,7 +62,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     total = base.count()
     blocks = base.groupBy("g", "home").agg(F.count("*").alias("n"))
     linked = blocks.groupBy("g").agg(F.sum("n").alias("all")).filter("all > 1")
-    state = propagate(blocks.join(linked.select("g"), "g"), shards, total // shards, rounds)
+    state = propagate(blocks.join(linked.select("g"), "g"), shards, int(SLACK * -(-total // shards)), rounds)
     state = state.join(linked, "g").select("g", "home", "label", "all")
 
     runs = max(1, -(-total // (shards * RUN_ROWS)))
