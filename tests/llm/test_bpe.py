@@ -38,7 +38,7 @@ def test_shared_chunks_and_odd_texts(spark):
     tok, rng = tokenizer(), random.Random(3)
     passage = prose(7, 900)
     odd = "".join(rng.choice([" ", "\n", "\t", "a", "é", "汉", "🙂", "'s", "1", "  ", "\x00", "<|endoftext|>"]) for _ in range(4000))
-    texts = [*ODD, passage, "Start. " + passage + " end", odd, "x" + odd + passage, passage * 3, "no spaces " + "y" * 9000 + passage, "y" * 9000]
+    texts = [*ODD, passage, "Start. " + passage + " end", odd, "x" + odd + passage, passage * 3, "no spaces " + "y" * 9000 + passage, "y" * 9000, " " * 1_000_000 + "x"]
     got = digests(docs(spark, texts).withColumns({c: F.lit(1) for c in CLASHES}))
     assert got == {i: brute(t, tok) for i, t in enumerate(texts)}
     assert B.encode(docs(spark, [])).count() == 0
@@ -48,3 +48,17 @@ def test_chunks_follow_the_content():
     passage = prose(9, 3000).encode()
     own, shifted = B.chunks(passage), B.chunks(b"some words before " + passage)
     assert b"".join(own) == passage and len(set(own) & set(shifted)) >= len(own) - 2
+
+
+def test_fast_encoder_equals_the_library():
+    """All characters, between letters, digits, blanks and signs; and random rows of the vocabulary's tokens."""
+    tok, path, rng = tokenizer(), B.vocabulary_path(), random.Random(1)
+    assert B._fast(path)
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}1{c} {c}!{c}\n{c}{c}b  {c}" for c in chars[::7]] + [f"a{c} {c}" for c in chars[:70_000]]
+    tokens = [t.decode("utf-8", "ignore") for t in B._token_bytes(path)]
+    texts += ["".join(rng.choices(tokens, k=40)) for _ in range(3000)]
+    want = tok.encode_batch(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(B.encode_texts([t.encode() for t in texts], path), want))
+    other = Tokenizer.from_file(B.vocabulary_path("word_bpe_49k.json")).encode("Some words", add_special_tokens=False).ids
+    assert B.encode_texts([b"Some words"], B.vocabulary_path("word_bpe_49k.json"))[0].tolist() == other
