@@ -27,9 +27,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearth.llm.bitmap import bitmap, may_hold
 from hearth.llm.components import components
 from hearth.session import settle
 
@@ -62,7 +64,8 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprint(text: str | None, shingle: int) -> int:
     """Unsigned 64-bit fingerprint."""
-    return majority(shingle_hashes(text, shingle))
+    hashes = shingle_hashes(text, shingle)
+    return majority(hashes) if len(hashes) else 0
 
 
 def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
@@ -231,13 +234,37 @@ def chunked_cells(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("key", "n", "parts", "own", "other")
 
 
-def similar(texts: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Different texts' sketches (fp, bands, shingles) -> links (a, b) of similar ones."""
-    texts = texts.withColumn("text_no", F.xxhash64("shingles"))
-    # only keys and numbers are put into cells; the sets join what is left
-    rows = chunked_cells(texts.select("fp", "text_no", F.explode("bands").alias("key")), chunk).join(texts.select("fp", "text_no", "shingles"), ["fp", "text_no"])
-    rows = rows.select("cell", "fp", "shingles").repartition("cell").sortWithinPartitions("cell")
-    return rows.mapInArrow(_similar_batches(similarity), "a long, b long").distinct()
+def _sets_of(bits: Broadcast, shingle: int):
+    """Sketches of the texts whose hash may be asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, told = np.frombuffer(bits.value, np.uint8), set()
+        for batch in batches:
+            out = {}
+            hashes = batch.column("h").to_numpy()
+            for at in np.flatnonzero(may_hold(own, hashes)).tolist():
+                if hashes[at] not in told:
+                    told.add(hashes[at])
+                    shingles = sketch(shingle_hashes(batch.column("text")[at].as_py(), shingle))[1]
+                    out[text_number(shingles)] = shingles
+            if len(told) > 1 << 18:
+                told.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["text_no", "shingles"])
+
+    return run
+
+
+def similar(docs: DataFrame, slim: DataFrame, shingle: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """Links (a, b) of fingerprints of similar texts; slim: h (the text's hash), fp, text_no and bands of docs.
+
+    Sets of shingles are made again for the texts in shared cells, so that those of all texts are never shuffled.
+    """
+    texts = slim.groupBy("fp", "text_no").agg(F.first("bands").alias("bands"))
+    rows = settle(chunked_cells(texts.select("fp", "text_no", F.explode("bands").alias("key")), chunk), "cells")
+    asked = slim.select("text_no", "h").join(rows.select("text_no").distinct(), "text_no", "left_semi").groupBy("text_no").agg(F.min("h").alias("h"))
+    sets = docs.select("text", F.xxhash64("text").alias("h")).mapInArrow(_sets_of(bitmap(asked.select("h")), shingle), "text_no long, shingles binary")
+    rows = rows.join(sets.groupBy("text_no").agg(F.first("shingles").alias("shingles")), "text_no").select("cell", "fp", "shingles")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_similar_batches(similarity), "a long, b long").distinct()
 
 
 def group(prints: DataFrame, radius: int = 3) -> DataFrame:
@@ -254,12 +281,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     return prints.join(group(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
 
+def text_number(shingles: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(shingles) - (1 << 63)
+
+
 def sketch_udf(shingle: int):
-    @F.pandas_udf("fp long, bands array<long>, shingles binary")
+    @F.pandas_udf("fp long, text_no long, bands array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        hashes = [shingle_hashes(t, shingle) for t in texts]
-        rows = [(np.uint64(majority(h)).view(np.int64) if len(h) else 0, *sketch(h)) for h in hashes]
-        return pd.DataFrame(rows, columns=["fp", "bands", "shingles"])
+        def one(text):
+            hashes = shingle_hashes(text, shingle)
+            bands, shingles = sketch(hashes)
+            return np.array(majority(hashes) if len(hashes) else 0, np.uint64).view(np.int64), text_number(shingles), bands
+
+        return pd.DataFrame([one(t) for t in texts], columns=["fp", "text_no", "bands"])
 
     return of
 
@@ -272,7 +306,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = 3, similarity:
     k = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("h")]
     slim = settle(docs.select(*k, sketch_udf(shingle)("text").alias("s")).select("none", "doc_id", "h", "s.*"), "fingerprinted")
     each = slim.groupBy("fp").agg(F.min(F.struct("none", "doc_id", "h")).alias("k"))
-    links = link(each.select("fp"), radius).unionByName(similar(slim.select("fp", "bands", "shingles").dropDuplicates(["fp", "shingles"]), similarity))
+    links = link(each.select("fp"), radius).unionByName(similar(docs, slim, shingle, similarity))
     roots = components(links).withColumnRenamed("node", "fp")
     best = each.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("k").alias("k")).select("k.*")
     names = [f"__hearth_{n}" for n in ("none", "doc_id", "h")]
