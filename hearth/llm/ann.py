@@ -2,8 +2,9 @@
 
 The tree is fitted on a bounded sample; every row is indexed. A query goes through the tree by a priority queue of
 inner products with the nodes' centres and lists the leaves in the order of its visits. How many leaves are visited is
-widened until, for calibration queries compared with all rows by brute force, the recall reaches its target. Leaves of
-many rows and leaves with many queries are cut into blocks, so a task holds one block of each at a time.
+widened until, for calibration queries compared with all rows by brute force, the recall reaches its target. A block
+holds neighbouring leaves of few rows, or a part of a leaf of many; a query is compared with all rows of the blocks
+that its leaves are in, and gives k rows a block, so a task holds one block of rows and one of queries at a time.
 
 Scores are sums of products in double precision in the order of the components; ties go to the smaller vec_id. Rows
 whose vector is null, zero, of an uncommon length or has null or non-finite components take no part, nor do null
@@ -28,8 +29,8 @@ from hearth.session import settle
 #: Rows that the tree is fitted on, and queries of the calibration, at most.
 SAMPLE, CALIBRATION = 20_000, 200
 BRANCH, LEAF_ROWS = 8, 512
-ROW_BLOCK, QUERY_BLOCK = 4096, 1024
-RECALL = 0.98
+ROW_BLOCK, QUERY_BLOCK = 8192, 1024
+RECALL = 0.95
 
 
 @dataclass
@@ -170,21 +171,37 @@ def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: i
     return visits, float((needed <= visits).mean())
 
 
-def _visit_batches(tree, held, dim: int, visits: int, k: int):
+def blocks_of(held: dict[int, int], most: int = ROW_BLOCK) -> dict[int, tuple[int, int]]:
+    """leaf -> its first block and its number of blocks, from the rows of each leaf; neighbouring leaves share a block."""
+    out, block, room = {}, 0, most
+    for leaf, rows in sorted(held.items()):
+        parts = -(-rows // most)
+        if parts == 1 and rows > room or parts > 1 and room < most:
+            block, room = block + 1, most
+        out[leaf] = (block, parts)
+        block, room = (block + parts, most) if parts > 1 else (block, room - rows)
+    return out
+
+
+def _visit_batches(tree, held, places, dim: int, visits: int, k: int):
+    """A row for each block that a query goes to."""
+
     def run(batches):
-        counts = held.value
+        counts, blocks = held.value, places.value
         for batch in batches:
-            queries, at, leaves = _stack(batch.column("embedding"), dim), [], []
+            queries, at, to = _stack(batch.column("embedding"), dim), [], []
             for n, products in enumerate(queries @ tree.value.centres.T):
-                rows = 0
+                rows, own = 0, set()
                 for seen, leaf in enumerate(tree.value.visits(products)):
                     if seen >= visits and rows > k:
                         break
-                    rows += counts.get(leaf, 0)
-                    at.append(n)
-                    leaves.append(leaf)
+                    if leaf in blocks:
+                        rows += counts[leaf]
+                        own.update(range(blocks[leaf][0], sum(blocks[leaf])))
+                at += [n] * len(own)
+                to += sorted(own)
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int32()), batch.column("query_id").take(at), batch.column("embedding").take(at)], names=["leaf", "query_id", "embedding"])
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), batch.column("query_id").take(at), batch.column("embedding").take(at)], names=["block", "query_id", "embedding"])
 
     return run
 
@@ -223,13 +240,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     visits, measured = calibrate(indexed, queries, tree, dim, k, recall)
 
     held = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
-    visited = settle(queries.mapInArrow(_visit_batches(sent, spark.sparkContext.broadcast(held), dim, visits, k), "leaf int, query_id long, embedding array<double>"), "visits")
-    blocks = indexed.groupBy("leaf").agg(F.count("*").alias("n")).join(visited.groupBy("leaf").agg(F.count("*").alias("asked")), "leaf")
-    blocks = F.broadcast(blocks.select("leaf", F.ceil(F.col("n") / ROW_BLOCK).cast("int").alias("rbs"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("qbs")))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = visited.join(blocks, "leaf").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qbs")).cast("int")).withColumn("rb", spread(F.col("rbs")))
-    right = indexed.join(blocks, "leaf").withColumn("rb", F.pmod(F.xxhash64("vec_id"), F.col("rbs")).cast("int")).withColumn("qb", spread(F.col("qbs")))
-    cell = ["leaf", "rb", "qb"]
+    places = blocks_of(held)
+    visit = _visit_batches(sent, spark.sparkContext.broadcast(held), spark.sparkContext.broadcast(places), dim, visits, k)
+    visited = settle(queries.mapInArrow(visit, "block int, query_id long, embedding array<double>"), "visits")
+    leaves = spark.createDataFrame([(leaf, *place) for leaf, place in places.items()], "leaf int, first int, parts int")
+    own = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")
+    placed = indexed.join(F.broadcast(leaves), "leaf").select(own.alias("block"), "vec_id", "embedding")
+    asked = F.broadcast(visited.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")))  # a row for each block
+    left = visited.join(asked, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+    right = placed.join(asked, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = ["block", "part"]
     near = left.select(*cell, "query_id", "embedding").groupBy(*cell).cogroup(right.select(*cell, "vec_id", "embedding").groupBy(*cell)).applyInPandas(_search_cell(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), measured

@@ -60,3 +60,15 @@ def test_widened_until_the_target(spark):
     df = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3000, 6)))])
     _, recall = A.search(df, F.col("vec_id") % 20 == 0, k=10, recall=0.95)
     assert recall >= 0.95
+
+
+def test_blocks_hold_bounded_rows():
+    held = {0: 3, 1: 4, 2: 9, 3: 25, 4: 1, 5: 10, 7: 2}
+    places = A.blocks_of(held, 10)
+    assert places[0][0] == places[1][0] != places[2][0] and places[3][1] == 3
+    used = {}
+    for leaf, (first, parts) in places.items():
+        for b in range(first, first + parts):
+            used.setdefault(b, []).append(leaf)
+    assert all(len(own) == 1 or sum(held[x] for x in own) <= 10 for own in used.values())
+    assert 3 not in {x for own in used.values() if len(own) > 1 for x in own}
