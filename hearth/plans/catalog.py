@@ -1,6 +1,6 @@
 """All queries of the library (the training-data operators have a registry of their own)."""
 
-from hearth.plans import q_dedupe, q_facts, q_market, q_search  # noqa: F401
+from hearth.plans import q_dedupe, q_facts, q_market, q_more, q_search  # noqa: F401
 from hearth.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
