@@ -151,3 +151,17 @@ def stream_hourly_counts(spark, sf_dir):
 def stream_first_users(spark, sf_dir):
     rows = X.first_of_each(X.read_stream(spark, f"{sf_dir}/events.parquet"), "user_id", "60 days")
     return X.run_to_end(rows.select("event_id", "user_id", "ts"), "append").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+
+#: Bursts that the watermark (ten minutes behind the last event) has not passed are still open at the end.
+@query(
+    """WITH O AS (SELECT user_id, event_type, ts, lag(event_type) OVER w AS before, lag(ts) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  N AS (SELECT *, sum(CASE WHEN before = event_type AND epoch(ts) - epoch(last) <= 600 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM O),
+  B AS (SELECT user_id AS chat, event_type AS sender, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, burst = max(max(burst)) OVER (PARTITION BY user_id) AS newest FROM N GROUP BY user_id, event_type, burst)
+  SELECT chat, sender, n, first_ts, last_ts FROM B WHERE NOT newest OR last_ts + INTERVAL 20 MINUTE < (SELECT max(ts) FROM events)"""
+)
+def stream_user_bursts(spark, sf_dir):
+    rows = X.read_stream(spark, f"{sf_dir}/events.parquet")
+    rows = rows.select(F.col("user_id").alias("chat"), F.col("event_type").alias("sender"), "ts", F.unix_micros("ts").alias("ordinal"))
+    out = X.run_to_end(X.stream_bursts(rows, 10), "append")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_ts", "last_ts")})

@@ -30,7 +30,7 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
 
 
 def windowed_counts(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
