@@ -9,6 +9,7 @@ from hearth.operators import harvest as V
 from hearth.operators import joins as J
 from hearth.plans.registry import query
 from hearth.session import table
+from hearth.sources import images as I
 from hearth.sources.listings import WITH_LISTINGS, listings
 
 # A few places of the configuration.
@@ -122,3 +123,14 @@ def earliest_seen(spark, sf_dir):
 def merged_lists(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.array(F.concat(F.lit("s"), (F.col("l_suppkey") % 8).cast("string")), "l_returnflag").alias("urls"))
     return V.merged_lists(rows, "part", "urls").select("part", F.array_join("urls", ",").alias("urls"))
+
+
+@query(
+    """WITH P AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM (SELECT * FROM embeddings WHERE vec_id < 4000000000) GROUP BY label)
+  SELECT a.label AS a, b.label AS b, CAST(len(list_intersect(list_transform(a.ids, lambda x: x % 97), list_transform(b.ids, lambda x: x % 97))) AS INT) AS n FROM P a JOIN P b ON b.label = a.label + 1"""
+)
+def shared_photos(spark, sf_dir):
+    photo = F.struct((F.col("vec_id") % 97).cast("string").alias("url"), F.lit(None).cast("string").alias("hash"))
+    rows = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_set(photo)).alias("photos"))
+    both = rows.alias("a").join(rows.alias("b"), F.col("b.label") == F.col("a.label") + 1)
+    return both.select(F.col("a.label").alias("a"), F.col("b.label").alias("b"), I.shared_photos(F.col("a.photos"), F.col("b.photos")).alias("n"))
