@@ -5,7 +5,7 @@ from hearth.llm.q_decontam import OP5_SQL, op5_decontaminate
 from hearth.llm.q_shard import op3_shard
 from hearth.llm.q_simhash import op1_simhash
 from hearth.llm.q_bpe import op7_bpe
-from hearth.llm.q_repeats import op9_repeats
+from hearth.llm.q_repeats import OP9_SQL, op9_repeats
 from hearth.llm.q_quality import op6_quality
 from hearth.llm.q_pii import op10_pii
 from hearth.llm.q_ann import op4_ann
@@ -23,4 +23,4 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op8_chat_format": op8_chat_format,
 }
-SQL = {"op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL}
+SQL = {"op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_repeats": OP9_SQL}

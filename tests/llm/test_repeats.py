@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from hearth.llm import repeats as R
-from hearth.llm.q_repeats import op9_repeats
+from hearth.llm.q_repeats import OP9_SQL, op9_repeats
 from hearth.session import table
 from helpers import CLASHES, ODD, docs
+from oracle import assert_same
 
 
 def brute(texts, length):
@@ -68,3 +69,7 @@ def test_odd_rows(spark):
     assert (got[0]["n_bytes"], got[0]["n_spans"]) == (0, 0)
     assert got[7]["n_removed"] == 5000 and got[8]["n_removed"] == len(ODD[8]) == got[9]["n_removed"]
     assert R.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_matches_oracle(spark, sf):
+    assert_same(op9_repeats(spark, sf), sf, OP9_SQL)
