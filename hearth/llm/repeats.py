@@ -121,7 +121,7 @@ def _context_rows(bits, length: int, gram: int):
         own, told = np.frombuffer(bits.value, np.uint8), set()
         for batch in _slices(batches):
             rows, done = [], set()
-            if len(told) > 1 << 18:
+            if len(told) > 1 << 15:
                 told.clear()
             for key, text in zip(batch.column("tkey").to_pylist(), batch.column("text").to_pylist()):
                 if key in done:
@@ -133,9 +133,10 @@ def _context_rows(bits, length: int, gram: int):
                     before, after = data[max(0, a - reach) : a], data[a + gram : a + gram + reach]
                     name = xxhash.xxh3_128_digest(data[a : a + gram])
                     context = xxhash.xxh3_64_intdigest(len(before).to_bytes(4, "little") + before + after) - (1 << 63)
-                    if (name, context) in told:
+                    both = context ^ int.from_bytes(name[:8], "little")
+                    if both in told:
                         before = after = None
-                    told.add((name, context))
+                    told.add(both)
                     rows.append((name, context, key, a, before, after))
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], names=["gram", "context", "tkey", "at", "before", "after"])
