@@ -43,7 +43,7 @@ def _ids_of(word: str) -> tuple[int, ...]:
 def word_ids(text: str | None) -> list[int]:
     """A text's words as rows of the table, with markers for capitals and repetitions."""
     out: list[int] = []
-    if len(_known) > 500_000:
+    if len(_known) > 100_000:
         _known.clear()
     before = None
     for word in WORD.findall(text or ""):
