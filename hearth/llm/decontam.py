@@ -21,6 +21,8 @@ from hearth.session import settle
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Windows and words up to which their side of a join is broadcast: about 40 MB.
 BROADCAST_ROWS = 200_000
+#: Keys of texts with hits (16 bytes each) up to which they are broadcast: about 80 MB.
+BROADCAST_KEYS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -44,8 +46,8 @@ def small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def search(docs: DataFrame, bench: DataFrame, width: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Documents with tkey and n_words, and by tkey: n_hit, items (sorted strings), for texts with hits."""
+def search(docs: DataFrame, bench: DataFrame, width: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with tkey and n_words; windows (item_id, wkey); hits (tkey, start, n, wkey): where a window occurs."""
     toks = docs.select("*", text_key(F.col("text")).alias("tkey"), words(F.col("text")).alias("words"))
     toks = settle(toks.drop("text").withColumn("n_words", F.size("words").cast("long")), "words")
     wins = settle(windows(bench, width), "windows")
@@ -69,19 +71,20 @@ def search(docs: DataFrame, bench: DataFrame, width: int = 10, broadcast_rows: i
         near = at.join(prefix, "tok").select("tkey", "wkey", "w", "n", "n_words", start).filter(inside).distinct()
         hits = near.join(toks.select("tkey", "words"), "tkey").filter(same)
     hits = settle(hits.select("tkey", "start", "n", "wkey").distinct(), "hits")
-    covered = hits.select("tkey", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy("tkey").agg(F.count("*").alias("n_hit"))
-    found = hits.select("tkey", "wkey").distinct().join(wins.select("wkey", "item_id"), "wkey").groupBy("tkey").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return toks.drop("words"), covered.join(found, "tkey", "left")
+    return toks.drop("words"), wins, hits
 
 
 def scan(docs: DataFrame, bench: DataFrame, width: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_hit, items."""
-    toks, hits = search(docs.select("doc_id", "text"), bench, width, broadcast_rows)
-    return toks.join(hits, "tkey", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    toks, wins, hits = search(docs.select("doc_id", "text"), bench, width, broadcast_rows)
+    covered = hits.select("tkey", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct().groupBy("tkey").agg(F.count("*").alias("n_hit"))
+    found = hits.select("tkey", "wkey").distinct().join(wins.select("wkey", "item_id"), "wkey").groupBy("tkey").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return toks.join(covered.join(found, "tkey", "left"), "tkey", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, width: int = 10, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """The documents without any hit, with all their columns."""
-    _, hits = search(docs.select("text"), bench, width)
+    _, _, hits = search(docs.select("text"), bench, width)
     key = "__hearth_tkey"
-    return docs.withColumn(key, text_key(F.col("text"))).join(hits.select(F.col("tkey").alias(key)), key, "left_anti").select(*docs.columns)
+    keys = hits.select(F.unhex("tkey").alias(key)).distinct()
+    return docs.withColumn(key, F.unhex(text_key(F.col("text")))).join(small(keys, broadcast_keys), key, "left_anti").select(*docs.columns)

@@ -52,9 +52,10 @@ def test_matches_oracle(spark, sf):
 
 def test_decontaminate_drops_documents_with_hits(spark):
     frame = docs(spark, TEXTS).withColumns({c: F.lit(1) for c in CLASHES})
-    out = D.decontaminate(frame, bench(spark))
-    assert out.columns == frame.columns
-    assert sorted(r["doc_id"] for r in out.collect()) == [i for i, x in enumerate(brute(TEXTS, ITEMS)) if not x[1]]
+    for limit in (D.BROADCAST_KEYS, 0):
+        out = D.decontaminate(frame, bench(spark), broadcast_keys=limit)
+        assert out.columns == frame.columns
+        assert sorted(r["doc_id"] for r in out.collect()) == [i for i, x in enumerate(brute(TEXTS, ITEMS)) if not x[1]]
 
 
 def test_empty_tables(spark):
