@@ -10,8 +10,9 @@ forest of its links, never all pairs.
 
 `deduplicate` also finds texts of a given similarity (the Jaccard coefficient of their sets of shingles), which differ
 in too many bits for blocks to agree: there the cells are bands of minima of the shingles' hashes (a pair of similarity
-0.8 shares one of the 12 with a chance of 0.998), the pivot tables discard with a wider radius, and survivors are
-verified by their sets of shingles (by the 1024 least hashes of each set where one has more).
+0.8 shares one of the 12 with a chance of 0.998). There the tables count each set's hashes in buckets: as the counts of
+two sets differ by no more than the sets do, a pair whose counts differ too much for the similarity is discarded, and
+no similar pair is. Survivors are verified by their whole sets of shingles.
 
 Null and empty texts have fingerprint zero and link with each other. Null doc_ids get the component's smallest doc_id.
 Repeated rows get equal results; an empty table gives none; other columns are ignored by `near_duplicates` and kept by
@@ -37,8 +38,8 @@ from hearth.session import settle
 
 PIVOTS = 32
 CHUNK = 512
-#: Bands and minima in a band; hashes that stand for a set of shingles; differing bits that similar texts may have.
-BANDS, BAND_ROWS, SKETCH, WIDE = 12, 4, 1024, 24
+#: Bands and minima in a band; buckets in which a set's hashes are counted, and how many of them go into a coarse one.
+BANDS, BAND_ROWS, SKETCH, COARSE = 12, 4, 1024, 16
 _TURNS = np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), 9) | 1 for i in range(BANDS * BAND_ROWS)], dtype=np.uint64)
 
 
@@ -69,23 +70,33 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 
 def sketch(hashes: np.ndarray) -> tuple[list[int], bytes]:
-    """Band keys of a set of shingles, and its hashes (32 bits each, sorted; the SKETCH least of them)."""
+    """Band keys of a set of shingles, and its hashes (32 bits each, sorted)."""
     if not len(hashes):
         return [], b""
     least = np.full(len(_TURNS), np.iinfo(np.uint64).max, np.uint64)
     for part in range(0, len(hashes), 4096):
         np.minimum(least, (hashes[part : part + 4096, None] * _TURNS).min(axis=0), out=least)
     keys = [xxhash.xxh64_intdigest(band.tobytes(), n) for n, band in enumerate(least.reshape(BANDS, BAND_ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist(), np.unique((hashes >> np.uint64(32)).astype("<u4"))[:SKETCH].tobytes()
+    return np.array(keys, np.uint64).view(np.int64).tolist(), np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
-    """The Jaccard coefficient of two sketches: exact if neither set was cut."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    if len(a) < SKETCH and len(b) < SKETCH:
-        return len(both) / (len(a) + len(b) - len(both))
-    union = np.union1d(a, b)[:SKETCH]
-    return len(np.intersect1d(both, union, assume_unique=True)) / len(union)
+    """The Jaccard coefficient of two sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def bucket_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes of each set lie in each bucket."""
+    counts = np.zeros((len(sets), SKETCH), np.int32)
+    for row, own in zip(counts, sets):
+        row[:] = np.bincount(own % SKETCH, minlength=SKETCH)
+    return counts
+
+
+def differing(counts: np.ndarray, a: np.ndarray, b: np.ndarray, part: int = 2048) -> np.ndarray:
+    """Sum of the differences of counts for each pair of rows: at most the number of hashes that one of both sets lacks."""
+    return np.concatenate([np.abs(counts[a[i : i + part]] - counts[b[i : i + part]]).sum(axis=1) for i in range(0, len(a), part)] or [np.empty(0, np.int64)])
 
 
 def fingerprint_udf(shingle: int):
@@ -147,9 +158,11 @@ def links_in_cells(cell: np.ndarray, fps: np.ndarray, refs: np.ndarray, radius:
     return fps[child], fps[root[child]]
 
 
-def similar_in_cells(cell: np.ndarray, fps: np.ndarray, sets: list[bytes], refs: np.ndarray, similarity: float, radius: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
-    """As links_in_cells, for pairs whose sketches are similar; pairs that are connected already aren't verified."""
-    table, own = distance_table(fps, refs), [np.frombuffer(s, "<u4") for s in sets]
+def similar_in_cells(cell: np.ndarray, fps: np.ndarray, sets: list[bytes], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """As links_in_cells, for pairs whose sets are similar; pairs that are connected already aren't verified."""
+    own = [np.frombuffer(s, "<u4") for s in sets]
+    fine = bucket_counts(own)
+    coarse = fine.reshape(len(own), -1, COARSE).sum(axis=2, dtype=np.int32)
     sizes, root = np.array([len(s) for s in own]), np.arange(len(fps))
     at, step, found = np.arange(len(fps)), 1, []
     while True:
@@ -158,11 +171,9 @@ def similar_in_cells(cell: np.ndarray, fps: np.ndarray, sets: list[bytes], refs:
         if not len(at):
             break
         left = at[root[at] != root[at + step]]
-        few, many = np.minimum(sizes[left], sizes[left + step]), np.maximum(sizes[left], sizes[left + step])
-        left = left[few >= similarity * many]
-        for part in range(0, len(refs), 8):
-            left = left[np.abs(table[left, part : part + 8] - table[left + step, part : part + 8]).max(axis=1, initial=0) <= radius]
-        left = left[np.bitwise_count(fps[left] ^ fps[left + step]) <= radius]
+        for counts in (sizes[:, None], coarse, fine):  # sets of n and m members and the similarity s differ in at most (n + m)(1 - s) / (1 + s)
+            most = (sizes[left] + sizes[left + step]) * (1 - similarity) / (1 + similarity)
+            left = left[differing(counts, left, left + step) <= most + 1e-6]
         new = [i for i in left.tolist() if similarity_of(own[i], own[i + step]) >= similarity]
         if new:
             found += [(i, i + step) for i in new]
@@ -174,10 +185,10 @@ def similar_in_cells(cell: np.ndarray, fps: np.ndarray, sets: list[bytes], refs:
 
 def _similar_batches(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs, kept = pivots(), None
+        kept = None
 
         def linked(rows: pa.Table):
-            a, b = similar_in_cells(rows["cell"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["shingles"].to_pylist(), refs, similarity)
+            a, b = similar_in_cells(rows["cell"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["shingles"].to_pylist(), similarity)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
@@ -235,7 +246,7 @@ def chunked_cells(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def _sets_of(bits: Broadcast, shingle: int):
-    """Sketches of the texts whose hash may be asked for."""
+    """Sets of shingles of the texts whose hash may be asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, told = np.frombuffer(bits.value, np.uint8), set()

@@ -102,3 +102,40 @@ def test_sketch_similarity():
     one, two = (np.sort(x) for x in (np.random.default_rng(3).permutation(big)[:18_000], np.random.default_rng(4).permutation(big)[:18_000]))
     exact = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
     assert abs(S.similarity_of(one[: S.SKETCH], two[: S.SKETCH]) - exact) < 0.05
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_with_a_repeated_line_are_similar(spark):
+    """Sets of shingles count, not how often a shingle occurs: fingerprints of such copies differ in many bits."""
+    texts = []
+    for seed in range(12):
+        text = prose(100 + seed, 400)
+        texts += [text, text + " " + " ".join([prose(200 + seed, 10)] * 50)]
+    assert all(jaccard(a, b) >= 0.9 for a, b in zip(texts[::2], texts[1::2]))
+    assert max((S.fingerprint(a, 5) ^ S.fingerprint(b, 5)).bit_count() for a, b in zip(texts[::2], texts[1::2])) > 24
+    assert sorted(r["doc_id"] for r in S.deduplicate(docs(spark, texts)).collect()) == list(range(0, 24, 2))
+
+
+def test_long_sets_are_compared_whole():
+    """Just over and just under the bar, where the least hashes of both sets say otherwise."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        pool = rng.choice(1 << 32, 6_000, replace=False).astype("<u4")
+        for shared in (4_801, 4_799):  # of 6000
+            sides = np.sort(pool[:5_400]), np.sort(np.concatenate((pool[5_400 - shared : 5_400], pool[5_400:])))
+            a, b = S.similar_in_cells(np.zeros(2, np.int64), np.array([1, 2], np.uint64), [x.tobytes() for x in sides], 0.8)
+            assert len(a) == (shared >= 4_800)
+
+
+def test_buckets_discard_no_similar_pair():
+    rng = np.random.default_rng(6)
+    for size in (1, 4, 5, 9, 100, 3_000):
+        pool = rng.choice(1 << 32, size, replace=False).astype("<u4")
+        for lost in {0, size // 10, size // 5, size // 4}:
+            sides = [np.sort(pool), np.sort(pool[: size - lost])]
+            a, _ = S.similar_in_cells(np.zeros(2, np.int64), np.array([1, 2], np.uint64), [x.tobytes() for x in sides], 0.8)
+            assert len(a) == ((size - lost) / size >= 0.8)
