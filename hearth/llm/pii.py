@@ -7,6 +7,10 @@ key within its format, and written back into the separators of the place where i
 key, kind and canonical value alone, so equal values get equal pseudonyms in all documents, whatever their separators;
 different values get different ones. What fails its check is left alone.
 
+In a run of groups of digits, the groups that form a card as cards are printed (CARD_FORMS) and pass the check are taken
+first, wherever they stand in the run (before an expiry date, after a reference number). What remains of the run is
+searched for all kinds, and there a card may have any grouping.
+
 Null texts stay null, empty ones empty; very long texts are whole. Only DataFrame functions are used: each row is
 worked on where it is, without a shuffle. Columns other than text are kept; an empty table gives no rows.
 """
@@ -27,7 +31,12 @@ DATE = r"(?<![\w\-/])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w\-/])"
 SSN_FORM = r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"
 PHONE = r"(?:(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w])"
 CARD = r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w])"
+#: A run of at least 13 digits in groups, up to its last group unless an address or a date begins there.
+RUN = r"(?<![\w.\-])\d(?:[ \-]?\d){12}(?:[\d \-]*\d)?(?!\w)(?<![ ]\d{1,3}(?=(?:\.\d{1,3}){3}(?!\w|\.\d)))(?<![ ]\d\d(?=/\d\d/\d{4}(?![\w\-/])))"
+#: Sizes of the groups in which cards are printed; only the first two can fit in one place, and the longer is tried first.
+CARD_FORMS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 5, 6), (4, 6, 4), (4, 4, 5), (4, 3, 3, 3), (4, 4, 4, 1), (6, 13), *((n,) for n in range(13, 20)))
 ANY = "|".join(f"(?:{x})" for x in (EMAIL, IPV4, DATE, SSN_FORM, PHONE, CARD))
+PLACES = "|".join(f"(?:{x})" for x in (EMAIL, IPV4, DATE, SSN_FORM, PHONE, RUN, CARD))
 
 
 def _digits(x: Column) -> Column:
@@ -103,6 +112,43 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def _checked(m: Column) -> Column:
+    return F.struct(m.alias("m"), kind_of(m).alias("kind"))
+
+
+def _pieces(run: Column) -> Column:
+    """array<struct<m, kind>>: cards in the run, and what lies between them (null kind), in order."""
+    groups = F.regexp_extract_all(run, F.lit(r"\d+[ \-]*"), F.lit(0))
+    piece = lambda m, kind: F.array(F.struct(m.alias("m"), F.lit(kind).cast("string").alias("kind")))
+    state = lambda out, rest, skip: F.struct(out.alias("out"), rest.alias("rest"), skip.cast("int").alias("skip"))
+    forms = [r"[ \-]".join(rf"\d{{{n}}}" for n in form) for form in CARD_FORMS]
+
+    def step(s, i):
+        ahead = F.array_join(F.slice(groups, i, 5), "")
+        fits = F.array(*[F.regexp_extract(ahead, rf"^(?:{x})(?!\d)", 0) for x in (forms[0], "|".join(forms[1:]))])
+        card = F.get(F.filter(fits, lambda c: (c != "") & (luhn_sum(_digits(c)) % 10 == 0)), F.lit(0))
+        count = F.size(F.regexp_extract_all(card, F.lit(r"\d+"), F.lit(0)))
+        last = F.element_at(groups, i + count - 1)
+        taken = state(F.concat(s["out"], piece(s["rest"], None), piece(card, "card")), F.regexp_extract(last, r"[ \-]*$", 0), count - 1)
+        return F.when(s["skip"] > 0, state(s["out"], s["rest"], s["skip"] - 1)).when(card.isNotNull(), taken).otherwise(state(s["out"], F.concat(s["rest"], F.element_at(groups, i)), F.lit(0)))
+
+    start = state(F.array().cast("array<struct<m:string,kind:string>>"), F.lit(""), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda s: F.concat(s["out"], piece(s["rest"], None)))
+
+
+def _found_in(place: Column) -> Column:
+    """array<struct<m, kind>>: the place, or the parts of a run of digits."""
+    none = F.lit(None).cast("string")
+
+    def searched(text):
+        gaps = F.transform(F.split(text, ANY, -1), lambda g: F.array(F.struct(g.alias("m"), none.alias("kind"))))
+        values = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.array(_checked(m)))
+        return F.flatten(F.zip_with(gaps, values, lambda g, v: F.concat(g, F.coalesce(v, F.array().cast("array<struct<m:string,kind:string>>")))))
+
+    parts = F.flatten(F.transform(_pieces(place), lambda p: F.when(p["kind"].isNull(), searched(p["m"])).otherwise(F.array(p))))
+    return F.when(place.rlike(r"^\d[\d \-]*$") & (F.length(_digits(place)) >= 13), parts).otherwise(F.array(_checked(place)))
+
+
 def _day(m: Column) -> Column:
     """Days after the first day, by the calendar; null if there is no such day."""
     iso = F.when(F.contains(m, F.lit("/")), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).otherwise(m)
@@ -151,11 +197,13 @@ def _pseudonym(m: Column, kind: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, found: str = "pii") -> DataFrame:
     """docs with the texts' values replaced, and a column of what was found: array<struct<kind, pseudonym>>."""
     names = docs.columns
-    held = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    held = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(PLACES), F.lit(0))).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("__hearth_all", held)
-    kinds = F.transform("__hearth_all", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    out = out.withColumn("__hearth_all", F.when(F.size("__hearth_all") > 0, F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), _pseudonym(x["m"], x["kind"], key).alias("pseudonym")))))
-    gaps = F.split("text", ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform("__hearth_all", lambda x: x["pseudonym"]), lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
-    result = F.filter(F.coalesce("__hearth_all", F.array().cast("array<struct<kind:string,pseudonym:string>>")), lambda x: x["kind"].isNotNull())
+    kinds = F.transform("__hearth_all", _found_in)
+    named = lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["m"]).otherwise(_pseudonym(x["m"], x["kind"], key)).alias("pseudonym"))
+    out = out.withColumn("__hearth_all", F.when(F.size("__hearth_all") > 0, F.transform(kinds, lambda parts: F.transform(parts, named))))
+    gaps = F.split("text", PLACES, -1)
+    written = F.transform("__hearth_all", lambda parts: F.array_join(F.transform(parts, lambda x: x["pseudonym"]), ""))
+    joined = F.array_join(F.zip_with(gaps, written, lambda gap, p: F.concat(gap, F.coalesce(p, F.lit("")))), "")
+    result = F.filter(F.flatten(F.coalesce("__hearth_all", F.array().cast("array<array<struct<kind:string,pseudonym:string>>>"))), lambda x: x["kind"].isNotNull())
     return out.select(*[F.when(F.col("__hearth_all").isNotNull(), joined).otherwise(F.col("text")).alias("text") if n == "text" else n for n in names], result.alias(found))

@@ -73,3 +73,24 @@ def test_very_long_text(spark):
     text = "word " * 60_000 + "a.b.c.d.e@example.org " + "5" * 20_000
     out = run(spark, [text])[0]
     assert len(out["text"]) == len(text) and len(out["pii"]) == 1
+
+
+def test_cards_beside_other_digits(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    texts = [
+        f"{card} 12/25", f"{card} 123", f"ref 12 {card}", f"12 34 56 {card} 12", f"1234 {card} 5678", f"{amex} 12/25", f"7 {amex} 1234", f"{card} 5500 0000 0000 0004", "4111111111111111 12-25",
+        f"{card}-123", f"{card} 2024-01-05", f"{card} 05/06/2024 x", f"{card} 123 192.168.1.10", f"{card} 12/25, 4111-1111-1111-1111", "4111 1111 1111 1112 12/25", "41 11 11 11 11 11 11 11",
+    ]
+    got = run(spark, texts)
+    kinds = [[x["kind"] for x in got[i]["pii"]] for i in range(len(texts))]
+    assert kinds == [["card"]] * 7 + [["card"] * 2] + [["card"]] * 2 + [["card", "date"]] * 2 + [["card", "ip"], ["card"] * 2, [], ["card"]]
+    assert not [r["text"] for r in got.values() if "1111 1111 1111 1111" in r["text"] or "822463" in r["text"] or "4111111111111111" in r["text"]]
+    same = got[0]["pii"][0]["pseudonym"]
+    assert [got[i]["text"] for i in (0, 1, 2, 3, 4, 9)] == [f"{same} 12/25", f"{same} 123", f"ref 12 {same}", f"12 34 56 {same} 12", f"1234 {same} 5678", f"{same}-123"]
+    assert got[14]["text"] == texts[14] and luhn(same.replace(" ", ""))
+
+
+def test_very_long_run_of_groups(spark):
+    text = "12 " * 3_000 + "4111 1111 1111 1111 " + "7 " * 3_000
+    out = run(spark, [text])[0]
+    assert len(out["text"]) == len(text) and "4111 1111 1111 1111" not in out["text"]
