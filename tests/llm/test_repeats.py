@@ -34,7 +34,7 @@ def planted(seed, count=40):
 
 
 def test_equals_brute_force_at_a_small_length(spark):
-    for seed, most in ((1, 20_000), (2, 3)):  # with few contexts a task also by the way of hot grams
+    for seed, most in ((1, 100_000), (2, 3)):  # with few contexts a task also by the way of hot grams
         texts = planted(seed)
         out = R.remove_repeats(docs(spark, texts).withColumns({c: F.lit(1) for c in CLASHES}), 40, 20, most)
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in out.collect()}
@@ -48,20 +48,59 @@ def test_query_equals_brute_force(spark, sf):
     assert [got[r["doc_id"]] for r in rows] == want
 
 
+def test_hot_grams_that_share_a_context(spark):
+    """Two grams between the same bytes: no string of 40 bytes repeats, however many contexts a task takes."""
+    rng = random.Random(11)
+    part = lambda: "".join(rng.choice("abcdefgh") for _ in range(20))
+    pool = sorted((part() for _ in range(3000)), key=lambda p: int(R.gram_hashes(R.np.frombuffer(p.encode(), R.np.uint8), 20)[0]))
+    a, b, (p, s, p2, s2) = pool[0], pool[1], pool[-4:]
+    texts = [x + m + y for x, y in ((p, s), (p2, s2)) for m in (a, b)]
+    for most in (100_000, 1):
+        assert [r["n_removed"] for r in R.remove_repeats(docs(spark, texts), 40, 20, most).collect()] == [0] * 4
+
+
+def test_hot_places_and_copies(spark):
+    """Many texts with one passage and many copies of one text: joined by broadcast, with the same result."""
+    texts = planted(7, 20) + [f"start {i} " + "the passage that stands in many of the texts, word for word " * 2 + f"end {i}" for i in range(60)] + ["one text in many copies, of over forty bytes"] * 50
+    for keys in (1_000, 2):
+        R.HOT_KEYS, old = keys, R.HOT_KEYS
+        try:
+            got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in R.remove_repeats(docs(spark, texts), 40, 20).collect()}
+        finally:
+            R.HOT_KEYS = old
+        assert [got[i] for i in range(len(texts))] == brute(texts, 40)
+
+
 def test_maximal_repeats_are_whole(spark):
-    """Each repeat's occurrences are equal strings, and some two of them differ on either side."""
+    """The occurrences of a repeat are equal strings, all of them in reach are given, and they cover what is removed."""
     texts = planted(5)
     frame = docs(spark, texts)
-    found, _ = R.find_repeats(frame, 40, 20)
-    keys = {r["tkey"]: r["text"].encode() for r in R.keyed_texts(frame).collect()}
-    groups = defaultdict(set)
-    for r in found.collect():
-        groups[r["repeat"], r["bytes"]].add((bytes(r["tkey"]), r["at"]))
-    keys = {bytes(k): v for k, v in keys.items()}
-    assert groups
-    for (_, size), places in groups.items():
-        assert size >= 40 and len(places) > 1
-        assert len({keys[k][at : at + size] for k, at in places}) == 1
+    keys = {bytes(r["tkey"]): r["text"].encode() for r in R.keyed_texts(frame).collect()}
+    for most in (100_000, 3):
+        found = R.Repeats(frame, 40, 20, most)
+        groups = defaultdict(set)
+        for r in found.occurrences().collect():
+            groups[r["repeat"], r["bytes"]].add((bytes(r["tkey"]), r["at"]))
+        assert groups
+        leads = {r["repeat"]: r["lead"] for r in found.groups().collect()}
+        for (name, size), places in groups.items():
+            assert size >= 40 and len(places) > 1
+            strings = {keys[k][at : at + size] for k, at in places}
+            assert len(strings) == 1
+            if most == 3:
+                continue
+            # left- and right-extension diversity, if the repeat ends within the reach of its anchor
+            for one, other, length in ((-1, 0, leads[name]), (size, size + 1, size - 20 - leads[name])):
+                beside = {keys[k][at + one : at + other] if at + one >= 0 else b"" for k, at in places}
+                assert len(beside) > 1 or b"" in beside or length == 20
+        covered = defaultdict(set)
+        for (_, size), places in groups.items():
+            for k, at in places:
+                covered[k].update(range(at, at + size))
+        want = defaultdict(set)
+        for r in found.spans().collect():
+            want[bytes(r["tkey"])].update(range(r["at"], r["until"]))
+        assert covered == want
 
 
 def test_odd_rows(spark):
@@ -71,5 +110,14 @@ def test_odd_rows(spark):
     assert R.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_very_long_text_and_null_ids(spark):
+    """A passage that stands at both ends of a text of a megabyte, and in a row without an id."""
+    rng = random.Random(3)
+    passage, middle = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (450, 1_000_000))
+    rows = [(1, passage + middle + passage), (None, "q" + passage), (None, "q" + passage)]
+    got = R.remove_repeats(docs(spark, rows).withColumns({c: F.lit(1) for c in CLASHES})).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["n_spans"]) for r in got) == [(0, 451, 1), (0, 451, 1), (1, 900, 2)]
+
+
 def test_matches_oracle(spark, sf):
     assert_same(op9_repeats(spark, sf), sf, OP9_SQL)
