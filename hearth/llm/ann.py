@@ -2,13 +2,15 @@
 
 The tree is fitted on a bounded sample; every row is indexed. A query goes through the tree by a priority queue of
 inner products with the nodes' centres and lists the leaves in the order of its visits. How many leaves are visited is
-widened until, for calibration queries compared with all rows by brute force, the recall reaches its target. A block
-holds neighbouring leaves of few rows, or a part of a leaf of many; a query is compared with all rows of the blocks
-that its leaves are in, and gives k rows a block, so a task holds one block of rows and one of queries at a time.
+widened until, for calibration queries compared with all rows by brute force, the recall reaches its target. A query
+is compared with the rows of the leaves that it visits and with no others, so the calibration's recall is that of the
+rows returned. For shuffling, neighbouring leaves of few rows share a block, and a leaf of many rows has several; a
+query gives k rows a block, so a task holds one block of rows and one of queries at a time.
 
 Scores are sums of products in double precision in the order of the components; ties go to the smaller vec_id. Rows
 whose vector is null, zero, of an uncommon length or has null or non-finite components take no part, nor do null
-vec_ids. Rows with the query's vec_id aren't its candidates; if a vec_id that is a query has several vectors, the
+vec_ids. Equal centres and equal products are visited in the order of their numbers. Rows with the query's vec_id
+aren't its candidates; if a vec_id that is a query has several vectors, the
 smallest asks. Repeated rows are candidates each. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -33,6 +35,16 @@ ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 RECALL = 0.95
 
 
+@dataclass
+class Measured:
+    """Of the calibration: leaves that a query visits, leaves in all, recall, and the share of all rows it is compared with."""
+
+    visits: int
+    leaves: int
+    recall: float
+    scored: float
+
+
 @dataclass
 class Tree:
     centres: np.ndarray  # of all nodes; node 0 is the root
@@ -153,11 +165,11 @@ def _brute_batches(asked, dim: int, k: int):
     return run
 
 
-def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, recall: float = RECALL, most: int = CALIBRATION) -> tuple[int, float]:
-    """Leaves to visit, and the recall measured with them."""
+def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: int, held: dict[int, int], recall: float = RECALL, most: int = CALIBRATION) -> Measured:
+    """How many leaves to visit, and what was measured with them. held: rows of each leaf."""
     asked = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(most).collect()
     if not asked:
-        return 1, 1.0
+        return Measured(1, tree.leaves, 1.0, 0.0)
     vectors = np.array([r["embedding"] for r in asked], np.float64).reshape(len(asked), dim)
     sent = indexed.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in asked]), vectors))
     near = indexed.mapInArrow(_brute_batches(sent, dim, k), "n int, vec_id long, score double, leaf int")
@@ -166,9 +178,10 @@ def calibrate(indexed: DataFrame, queries: DataFrame, tree: Tree, dim: int, k: i
     place = [{leaf: i for i, leaf in enumerate(tree.visits(p))} for p in vectors @ tree.centres.T]
     needed = np.sort([place[r["n"]][r["leaf"]] + 1 for r in truth])
     if not len(needed):
-        return tree.leaves, 1.0
+        return Measured(tree.leaves, tree.leaves, 1.0, 1.0)
     visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])  # widened until the target is reached
-    return visits, float((needed <= visits).mean())
+    met = sum(held.get(leaf, 0) for order in place for leaf, i in order.items() if i < visits)
+    return Measured(visits, tree.leaves, float((needed <= visits).mean()), met / (len(asked) * sum(held.values())))
 
 
 def blocks_of(held: dict[int, int], most: int = ROW_BLOCK) -> dict[int, tuple[int, int]]:
@@ -184,52 +197,68 @@ def blocks_of(held: dict[int, int], most: int = ROW_BLOCK) -> dict[int, tuple[in
 
 
 def _visit_batches(tree, held, places, dim: int, visits: int, k: int):
-    """A row for each block that a query goes to."""
+    """A row for each block that a query goes to, with the leaves that it visits there."""
 
     def run(batches):
         counts, blocks = held.value, places.value
         for batch in batches:
-            queries, at, to = _stack(batch.column("embedding"), dim), [], []
+            queries, at, to, which = _stack(batch.column("embedding"), dim), [], [], []
             for n, products in enumerate(queries @ tree.value.centres.T):
-                rows, own = 0, set()
+                rows, own = 0, {}
                 for seen, leaf in enumerate(tree.value.visits(products)):
                     if seen >= visits and rows > k:
                         break
                     if leaf in blocks:
                         rows += counts[leaf]
-                        own.update(range(blocks[leaf][0], sum(blocks[leaf])))
+                        first, parts = blocks[leaf]
+                        for block in range(first, first + parts):
+                            own.setdefault(block, []).append(leaf)
                 at += [n] * len(own)
-                to += sorted(own)
+                to += own
+                which += own.values()
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), batch.column("query_id").take(at), batch.column("embedding").take(at)], names=["block", "query_id", "embedding"])
+            columns = [pa.array(to, pa.int32()), pa.array(which, pa.list_(pa.int32())), batch.column("query_id").take(at), batch.column("embedding").take(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "leaves", "query_id", "embedding"])
 
     return run
 
 
 def _search_cell(k: int):
+    """The k best rows of a block for each query, among the rows of the leaves that it visits."""
+
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        best: dict[int, list[tuple[int, float]]] = {}
         if len(queries) and len(rows):
             q, v = np.stack(queries["embedding"]).astype(np.float64), np.stack(rows["embedding"]).astype(np.float64)
-            ids = rows["vec_id"].to_numpy()
-            for start in range(0, len(q), 128):
-                for n, rough in enumerate(q[start : start + 128] @ v.T, start):
-                    own = ids == queries["query_id"].iat[n]
-                    own, at = own.any(), np.flatnonzero(~own)
-                    found = best_rows(q[n], v[at], ids[at], rough[at], k) if own else best_rows(q[n], v, ids, rough, k)
-                    out += [(queries["query_id"].iat[n], i, s) for i, s in found]
+            ids, leaf, asks = rows["vec_id"].to_numpy(), rows["leaf"].to_numpy(), queries["query_id"].to_numpy()
+            visitors: dict[int, list[int]] = {}
+            for n, leaves in enumerate(queries["leaves"]):
+                for own in leaves:
+                    visitors.setdefault(own, []).append(n)
+            for own, asking in visitors.items():
+                at = np.flatnonzero(leaf == own)
+                for start in range(0, len(asking) if len(at) else 0, 128):
+                    some = asking[start : start + 128]
+                    for n, rough in zip(some, q[some] @ v[at].T):
+                        ok = ids[at] != asks[n]
+                        if len(known := best.get(n, [])) == k:  # what is worse than k rows already found can go
+                            ok &= rough >= known[-1][1] - 1e-9 * (1 + abs(known[-1][1]))
+                        if ok.any():
+                            found = best_rows(q[n], v[at[ok]], ids[at[ok]], rough[ok], k)
+                            best[n] = sorted(known + found, key=lambda x: (-x[1], x[0]))[:k]
+        out = [(queries["query_id"].iat[n], i, s) for n, found in best.items() for i, s in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL) -> tuple[DataFrame, float]:
-    """query_id, rank, vec_id, score; and the measured recall of the calibration. is_query: a condition on vec_id."""
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL) -> tuple[DataFrame, Measured]:
+    """query_id, rank, vec_id, score; and what the calibration measured. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), 1.0
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"), Measured(0, 0, 1.0, 0.0)
     dim, total = sizes["dim"], sizes["n"]
     rows = rows.filter(F.size("embedding") == dim)
     sample = rows.select("embedding", F.xxhash64("vec_id", "embedding").alias("h")).orderBy("h").limit(SAMPLE).collect()
@@ -237,19 +266,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     sent = spark.sparkContext.broadcast(tree)  # at most 2 x SAMPLE / BRANCH nodes
     indexed = settle(rows.mapInArrow(_assign_batches(sent, dim), "leaf int, vec_id long, embedding array<double>"), "indexed")
     queries = rows.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
-    visits, measured = calibrate(indexed, queries, tree, dim, k, recall)
-
     held = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf
+    measured = calibrate(indexed, queries, tree, dim, k, held, recall)
     places = blocks_of(held)
-    visit = _visit_batches(sent, spark.sparkContext.broadcast(held), spark.sparkContext.broadcast(places), dim, visits, k)
-    visited = settle(queries.mapInArrow(visit, "block int, query_id long, embedding array<double>"), "visits")
+    visit = _visit_batches(sent, spark.sparkContext.broadcast(held), spark.sparkContext.broadcast(places), dim, measured.visits, k)
+    visited = settle(queries.mapInArrow(visit, "block int, leaves array<int>, query_id long, embedding array<double>"), "visits")
     leaves = spark.createDataFrame([(leaf, *place) for leaf, place in places.items()], "leaf int, first int, parts int")
     own = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int")
-    placed = indexed.join(F.broadcast(leaves), "leaf").select(own.alias("block"), "vec_id", "embedding")
+    placed = indexed.join(F.broadcast(leaves), "leaf").select(own.alias("block"), "leaf", "vec_id", "embedding")
     asked = F.broadcast(visited.groupBy("block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts")))  # a row for each block
     left = visited.join(asked, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
     right = placed.join(asked, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = ["block", "part"]
-    near = left.select(*cell, "query_id", "embedding").groupBy(*cell).cogroup(right.select(*cell, "vec_id", "embedding").groupBy(*cell)).applyInPandas(_search_cell(k), "query_id long, vec_id long, score double")
+    near = left.select(*cell, "leaves", "query_id", "embedding").groupBy(*cell).cogroup(right.select(*cell, "leaf", "vec_id", "embedding").groupBy(*cell)).applyInPandas(_search_cell(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), measured

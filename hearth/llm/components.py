@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from hearth.session import settle
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """links (a, b) -> (node, root): root is the smallest node of the component; nodes that are roots have no row."""
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b) -> (node, root): root is the smallest node of the component; nodes that are roots have no row.
+
+    Rounds go on until nothing changes: every one moves links to smaller nodes, so they end (after about as many rounds
+    as the logarithm of the longest path).
+    """
     edges = settle(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -23,4 +27,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

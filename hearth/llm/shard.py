@@ -2,7 +2,7 @@
 
 Documents with the same text are linked. Every document starts on a shard given by its hash. In each round the blocks
 of a group (its rows on one shard) move to the shard that holds most of the group and still has room; what may enter a
-shard is limited by its quota. Then counts are made even: shard sizes in rows differ by at most one, and what is over
+shard is limited by its quota. A move goes to where the group has as many rows or more, so rounds end by themselves. Then counts are made even: shard sizes in rows differ by at most one, and what is over
 a shard's share (documents without links first) goes to shards that lack rows.
 
 Null texts are never linked; equal rows each get a slot of their own; an empty table gives no rows. Ties go to the
@@ -22,11 +22,11 @@ RUN_ROWS = 50_000
 SLACK = 1.25
 
 
-def propagate(blocks: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
+def propagate(blocks: DataFrame, shards: int, quota: int) -> DataFrame:
     """blocks: g, home, n (a group's rows on its first shard) -> g, home, n, label."""
     state = settle(blocks.withColumn("label", F.col("home")), "blocks")
     lanes = max(1, min(1024, state.count() // (shards * RUN_ROWS)))
-    for _ in range(rounds):
+    while True:
         load = state.groupBy("label").agg(F.sum("n").alias("load"))
         held = state.groupBy("g", "label").agg(F.sum("n").alias("m"))
         # loads: a row for each shard at most
@@ -44,12 +44,11 @@ def propagate(blocks: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
         moves = moves.withColumn("entered", F.sum("n").over(lane)).filter(F.col("entered") * lanes <= F.col("room"))
         moves = settle(moves.select("g", "home", "to"), "moves")
         if moves.isEmpty():
-            break
+            return state
         state = settle(state.join(moves, ["g", "home"], "left").select("g", "home", "n", F.coalesce("to", "label").cast("int").alias("label")), "blocks")
-    return state
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot, and linked: whether another document has the same text."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(
@@ -62,7 +61,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     total = base.count()
     blocks = base.groupBy("g", "home").agg(F.count("*").alias("n"))
     linked = blocks.groupBy("g").agg(F.sum("n").alias("all")).filter("all > 1")
-    state = propagate(blocks.join(linked.select("g"), "g"), shards, int(SLACK * -(-total // shards)), rounds)
+    state = propagate(blocks.join(linked.select("g"), "g"), shards, int(SLACK * -(-total // shards)))
     state = state.join(linked, "g").select("g", "home", "label", "all")
 
     runs = max(1, -(-total // (shards * RUN_ROWS)))
@@ -76,7 +75,7 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 8) -> DataFrame:
     sizes = placed.groupBy("label", "run").agg(F.count("*").alias("rows"))  # shards x 2 x runs rows
     before = sizes.select("label", "run", (F.sum("rows").over(Window.partitionBy("label").orderBy("run")) - F.col("rows")).alias("before"))
     order = Window.partitionBy("label", "run").orderBy("g", "doc_id", "size", "text_crc32")
-    ranked = placed.join(F.broadcast(before), ["label", "run"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
+    ranked = placed.join(before, ["label", "run"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
 
     # One number for each shard: what it has, its share, and where rows over the share go.
     have = {r["label"]: r["rows"] for r in sizes.groupBy("label").agg(F.sum("rows").alias("rows")).collect()}

@@ -58,8 +58,36 @@ def test_tree_visits_every_leaf_once():
 def test_widened_until_the_target(spark):
     rng = np.random.default_rng(1)
     df = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(3000, 6)))])
-    _, recall = A.search(df, F.col("vec_id") % 20 == 0, k=10, recall=0.95)
-    assert recall >= 0.95
+    _, measured = A.search(df, F.col("vec_id") % 20 == 0, k=10, recall=0.95)
+    assert measured.recall >= 0.95
+
+
+def test_the_tree_prunes_and_recall_is_that_of_the_rows(spark):
+    """Clustered vectors: under half of all rows are scored, and the rows returned have the recall."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    vectors = centres[rng.integers(0, 40, 12_000)] + 0.15 * rng.normal(size=(12_000, 16))
+    df = frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(vectors)])
+    found, measured = A.search(df, F.col("vec_id") % 50 == 0, k=10)
+    assert measured.leaves > 20 and measured.scored < 0.5
+    vectors = vectors.astype(np.float32).astype(np.float64)  # as they are stored
+    asked = list(range(0, 12_000, 50))
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = {q: set(np.argsort(-s)[:10].tolist()) for q, s in zip(asked, scores)}
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & want[q]) / 10 for q in asked]) >= 0.9
+
+
+def test_only_rows_of_visited_leaves_are_compared():
+    import pandas as pd
+
+    queries = pd.DataFrame({"leaves": [[1], [2]], "query_id": [50, 51], "embedding": [[1.0, 0.0], [1.0, 0.0]]})
+    rows = pd.DataFrame({"leaf": [1, 2, 3], "vec_id": [1, 2, 3], "embedding": [[0.1, 0.0], [0.2, 0.0], [0.9, 0.0]]})
+    out = A._search_cell(5)(queries, rows)
+    assert sorted(zip(out["query_id"], out["vec_id"])) == [(50, 1), (51, 2)]
 
 
 def test_blocks_hold_bounded_rows():
