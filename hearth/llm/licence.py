@@ -1,23 +1,28 @@
 """License scans: a paragraph classifier over sparse word n-grams, confirmed by templates.
 
-A paragraph is a line of text. Its features are the word pairs and triples that occur in the license templates; a
-multinomial logistic regression over them tells license families from a class "unknown". It is trained on the
-templates, whole and shortened, and on a bounded sample of the corpus's own lines with ready-made near misses as
-unknown. The probability that a prediction needs is calibrated on held-out lines: above all that unknown ones get.
-A predicted family is confirmed if the paragraph has at least `confirm` of the word pairs of one of its templates;
-what looks like a license but isn't confirmed is given as "unknown".
-
-Null and empty texts have no paragraphs; very long lines are classified whole. Repeated rows give repeated hits;
-an empty table gives no rows. Columns other than doc_id and text are ignored. Only DataFrame functions and Spark's
-own feature and regression stages are used.
+A line is a hit if it has a word pair of a license notice (pairs of mere function words don't count). Hits that stand
+next to each other, or with one line between, are joined into a paragraph, so that wrapped notices and whole license
+texts are read as one. A multinomial logistic regression over the word pairs and triples of its training rows tells
+license families from other licenses ("unknown") and from what is no license. It is trained on the templates, whole,
+shortened and cut, on notices of other licenses, on near misses, and on a bounded sample of the corpus's own different
+paragraphs. Its probabilities are calibrated by a temperature on held-out rows. A paragraph whose probability of being a
+license is `needed` or more comes out: under the likeliest family if at least `confirm` of the word pairs of one of the
+family's templates stand in it, else as "unknown".
+
+Null and empty texts have no paragraphs; very long lines are classified whole. Of equal probabilities the family that
+comes first among the templates wins. Repeated rows give repeated hits; an empty table gives no rows. Columns other
+than doc_id and text are ignored. Only DataFrame functions and Spark's own feature and regression stages are used.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, NGram
+from pyspark.ml.feature import CountVectorizer, NGram
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearth.session import settle
@@ -73,17 +78,58 @@ NEAR_MISSES = [
     "Use of this file is subject to the terms below.",
     "He was licensed under the old rules.",
     "The foundation published version 2 of the report.",
+    "He needs a license for the boat, and a copy of it in the car.",
+    "Under the terms of the treaty the island is free.",
+    "The public library closed; the public office is open.",
+    "Copy the terms and conditions to the file and distribute the copies.",
+    "A general license to fish is granted by the office.",
+    "All rights of the members are reserved to the club.",
+]
+# Notices of licenses without a template: examples of the class "unknown", as they stand and as names in usual forms.
+OTHER_NOTICES = [
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "This software is provided as-is, without any express or implied warranty; in no event will the authors be held liable for any damages arising from its use.",
+    "The contents of this file are subject to the terms of the Common Development and Distribution License.",
+    "Use of this source code is governed by a license that can be found in the LICENSE file.",
+    "All rights reserved; no license is granted to copy, modify or distribute this file.",
 ]
-UNKNOWN = "unknown"
-#: Corpus lines in the training set, at most.
-SAMPLE = 2_000
-CONFIRM = 0.6
+OTHER_NAMES = [
+    ("ISC License", "ISC"),
+    ("Eclipse Public License, version 2.0", "EPL-2.0"),
+    ("Artistic License 2.0", "Artistic-2.0"),
+    ("Boost Software License, Version 1.0", "BSL-1.0"),
+    ("SIL Open Font License, Version 1.1", "OFL-1.1"),
+    ("European Union Public Licence, version 1.2", "EUPL-1.2"),
+    ("Common Development and Distribution License", "CDDL-1.0"),
+    ("Microsoft Public License", "MS-PL"),
+    ("Open Database License", "ODbL-1.0"),
+    ("Open Software License, version 3.0", "OSL-3.0"),
+    ("PostgreSQL License", "PostgreSQL"),
+    ("Example Community License", "LicenseRef-Example"),
+]
+FORMS = ["Licensed under the {0}.", "Released under the terms of the {0}.", "This work is licensed under the {0}.", "SPDX-License-Identifier: {1}"]
+OTHERS = OTHER_NOTICES + [form.format(*name) for name in OTHER_NAMES for form in FORMS]
+# Function words: a pair of them says nothing about licenses.
+COMMON = "a all an and any are as at be by can case for from in is it its may no not of on or other than that the their this to with without you".split()
+UNKNOWN, NONE = "unknown", "none"
+#: Corpus paragraphs in the training set, and features, at most.
+SAMPLE, FEATURES = 2_000, 1 << 16
+CONFIRM, NEEDED = 0.6, 0.5
 
 
 def line_words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), "[^a-z0-9]+"), "")
 
 
+def _clean(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
+def _pairs(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
 def _grams(df: DataFrame) -> DataFrame:
     """Adds pairs and grams (pairs and triples) of the column words."""
     df = NGram(n=2, inputCol="words", outputCol="pairs").transform(df)
@@ -91,19 +137,23 @@ def _grams(df: DataFrame) -> DataFrame:
 
 
 def _template_words() -> list[tuple[str, list[str]]]:
-    clean = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
-    return [(family, clean(t)) for family, texts in TEMPLATES.items() for t in texts]
+    return [(family, _clean(t)) for family, texts in TEMPLATES.items() for t in texts]
+
+
+def telling_pairs() -> list[str]:
+    """Word pairs of all notices that have a word that isn't common."""
+    notices = [w for _, w in _template_words()] + [_clean(t) for t in OTHERS]
+    return sorted({p for words in notices for p in _pairs(words) if not set(p.split()) <= set(COMMON)})
 
 
 def _examples() -> list[tuple[str, list[str], bool]]:
-    """Family, words, and whether the row is held out: templates whole, without a word, and cut."""
+    """Family, words, and whether the row is held out: notices whole, without a word, and cut."""
     rows = []
-    for family, words in _template_words():
+    for family, words in [*_template_words(), *((UNKNOWN, _clean(t)) for t in OTHERS)]:
         shorter = [words[:i] + words[i + 1 :] for i in range(len(words))] if len(words) > 4 else []
         cuts = [words[: -(-len(words) * 3 // 4)], words[len(words) // 4 :]] if len(words) > 8 else []
         rows += [(family, words, False)] * 3 + [(family, w, i % 4 == 3) for i, w in enumerate(shorter + cuts)]
-    misses = ["".join(c if c.isalnum() else " " for c in t.lower()).split() for t in NEAR_MISSES]
-    return rows + [(UNKNOWN, w, i % 4 == 3) for i, w in enumerate(misses * 4)]
+    return rows + [(NONE, _clean(t), i % 4 == 3) for i, t in enumerate(NEAR_MISSES * 4)]
 
 
 def _rows(spark: SparkSession, rows: list[tuple[str, list[str], bool]]) -> DataFrame:
@@ -119,54 +169,77 @@ def template_share(pairs: Column, family: Column) -> Column:
     for name in TEMPLATES:
         shares = []
         for _, words in (x for x in _template_words() if x[0] == name):
-            own = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+            own = sorted(set(_pairs(words)))
             shares.append(F.size(F.array_intersect(pairs, F.array(*map(F.lit, own)))) / len(own))
         out = F.when(family == name, F.greatest(F.lit(0.0), *shares)).otherwise(out)
     return out
 
 
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, paragraph (number of its first line, from 0), lines (how many are joined), text, words, pairs."""
+    # equal rows are told apart by where they stand in the scan, before lines are shuffled by document
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"))
+    lines = rows.select("doc_id", "row", F.posexplode("lines").alias("n", "line")).filter(F.col("line") != "").withColumn("words", line_words(F.col("line")))
+    lines = NGram(n=2, inputCol="words", outputCol="pairs").transform(lines)
+    hits = settle(lines.filter(F.arrays_overlap("pairs", F.array(*map(F.lit, telling_pairs())))).select("doc_id", "row", "n", "line"), "hits")
+    order = Window.partitionBy("row").orderBy("n")
+    starts = F.coalesce((F.col("n") - F.lag("n").over(order) > 2).cast("int"), F.lit(1))
+    runs = hits.withColumn("starts", starts).withColumn("run", F.sum("starts").over(order))
+    joined = runs.groupBy("doc_id", "row", "run").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("l"))
+    text = F.array_join("l.line", " ")
+    joined = joined.select("doc_id", F.get("l.n", F.lit(0)).alias("paragraph"), F.size("l").alias("lines"), text.alias("text")).withColumn("words", line_words(F.col("text")))
+    return _grams(joined)
+
+
 class LicenceModel:
-    """Trained on the templates and on lines of a corpus."""
-
-    def __init__(self, lines: DataFrame, sample: int = SAMPLE):
-        spark = lines.sparkSession
-        self.names = [*TEMPLATES, UNKNOWN]
-        grams = {" ".join(w[i : i + n]) for _, w in _template_words() for n in (2, 3) for i in range(len(w) - n + 1)}
-        self.counts = CountVectorizerModel.from_vocabulary(sorted(grams), "grams", "features")
-        self.counts.setBinary(True)
-        # lines that are licenses themselves are no examples of what isn't
-        own = _grams(lines.select("line", F.xxhash64("line").alias("h")).orderBy("h").limit(sample).select(line_words(F.col("line")).alias("words"), (F.col("h") % 4 == 0).alias("held")))
-        like = F.greatest(*[template_share(F.col("pairs"), F.lit(n)) for n in TEMPLATES])
-        own = own.filter(like < 0.3).select(F.lit(UNKNOWN).alias("family"), "words", "held")
-        rows = settle(_rows(spark, _examples()).unionByName(own), "examples")
-        rows = self.counts.transform(_grams(rows))
+    """Trained on the notices and on different paragraphs of a corpus."""
+
+    def __init__(self, found: DataFrame, sample: int = SAMPLE):
+        spark = found.sparkSession
+        self.names = [*TEMPLATES, UNKNOWN, NONE]
+        # paragraphs that may be licenses themselves are no examples of what isn't
+        own = found.select("words", F.xxhash64("words").alias("h")).dropDuplicates(["h"]).orderBy("h").limit(sample)
+        like = reduce(F.greatest, [template_share(F.col("pairs"), F.lit(n)) for n in TEMPLATES])
+        said = F.exists("words", lambda w: w.startswith("licen") | w.isin("spdx", "copyright", "warranty"))
+        own = _grams(own).filter((like < 0.3) & ~said).select(F.lit(NONE).alias("family"), "words", (F.col("h") % 4 == 0).alias("held"))
+        rows = _grams(settle(_rows(spark, _examples()).unionByName(own), "examples"))
+        self.counts = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=FEATURES, binary=True).fit(rows.filter("not held"))
         number = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(self.names) for x in (n, float(i))]), F.col("family"))
-        rows = rows.withColumn("label", number)
-        # each class weighs the same
+        rows = self.counts.transform(rows).withColumn("label", number)
+        # each kind of license weighs the same, and what is none as much as all of them
         sizes = {r["family"]: r["n"] for r in rows.filter("not held").groupBy("family").agg(F.count("*").alias("n")).collect()}
-        weight = F.element_at(F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, 100.0 / c)]), F.col("family"))
+        weight = F.element_at(F.create_map(*[F.lit(x) for n, c in sizes.items() for x in (n, (100.0 if n != NONE else 100.0 * (len(self.names) - 1)) / c)]), F.col("family"))
         self.model = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-3, maxIter=80).fit(rows.filter("not held").withColumn("weight", weight))
-        worst = self.predict(rows.filter(F.col("held") & (F.col("family") == UNKNOWN))).agg(F.max("probability")).first()[0]
-        self.needed = min(0.95, max(0.5, (worst or 0.0) + 0.01))
-
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """Adds the likeliest family and its probability."""
-        out = self.model.transform(rows).withColumn("p", F.slice(vector_to_array("probability"), 1, len(self.names) - 1)).drop("probability", "prediction", "rawPrediction")
-        best = F.array_max("p")
-        return out.withColumn("probability", best).withColumn("family", F.element_at(F.array(*map(F.lit, TEMPLATES)), F.array_position("p", best).cast("int")))
+        self.temperature = self._calibrate(rows.filter("held"))
 
+    def _calibrate(self, held: DataFrame) -> float:
+        """The temperature of the least cross-entropy, classes weighing as in training; held: a few hundred rows."""
+        rows = self.model.transform(held).select("label", vector_to_array("rawPrediction").alias("raw")).collect()
+        raw, label = np.array([r["raw"] for r in rows]), np.array([int(r["label"]) for r in rows])
+        weight = np.where(label == len(self.names) - 1, len(self.names) - 1.0, 1.0) / np.bincount(label, minlength=len(self.names))[label]
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (from 0), line."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line") != "")
+        def loss(t: float) -> float:
+            z = raw / t
+            z -= z.max(axis=1, keepdims=True)
+            return float(weight @ (np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), label]))
 
+        return float(min(np.geomspace(0.1, 10, 41), key=loss))
 
-def scan(docs: DataFrame, sample: int = SAMPLE, confirm: float = CONFIRM) -> DataFrame:
-    """doc_id, paragraph, family, probability, template_share, line: one row for each paragraph that is a license."""
-    lines = paragraphs(docs)
-    model = LicenceModel(lines, sample)
-    rows = model.counts.transform(_grams(lines.withColumn("words", line_words(F.col("line")))))
-    rows = model.predict(rows).filter(F.col("probability") >= model.needed)
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Adds the calibrated probability of being a license, the likeliest license class and its probability."""
+        out = self.model.transform(self.counts.transform(rows)).withColumn("z", vector_to_array("rawPrediction")).drop("probability", "prediction", "rawPrediction", "features")
+        e = F.transform("z", lambda x: F.exp((x - F.array_max("z")) / self.temperature))
+        out = out.withColumn("e", e).withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda s, y: s + y)))
+        licences = F.slice("p", 1, len(self.names) - 1)
+        best = F.array_max(licences)
+        name = F.element_at(F.array(*map(F.lit, self.names)), F.array_position(licences, best).cast("int"))
+        return out.withColumns({"is_license": 1 - F.element_at("p", -1), "probability": best, "family": name}).drop("z", "e", "p")
+
+
+def scan(docs: DataFrame, sample: int = SAMPLE, confirm: float = CONFIRM, needed: float = NEEDED) -> DataFrame:
+    """doc_id, paragraph, lines, family, probability, is_license, template_share, text: a row for each license paragraph."""
+    found = settle(paragraphs(docs), "paragraphs")
+    rows = LicenceModel(found, sample).predict(found).filter(F.col("is_license") >= needed)
     rows = rows.withColumn("template_share", template_share(F.col("pairs"), F.col("family")))
     family = F.when(F.col("template_share") >= confirm, F.col("family")).otherwise(UNKNOWN)
-    return rows.select("doc_id", "paragraph", family.alias("family"), "probability", "template_share", "line")
+    return rows.select("doc_id", "paragraph", "lines", family.alias("family"), "probability", "is_license", "template_share", "text")
