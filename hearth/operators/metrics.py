@@ -129,14 +129,6 @@ def inclusions_premium(listings: DataFrame, brief: Brief = BRIEF) -> DataFrame:
     )
 
 
-def merged_gaps(listings: DataFrame) -> DataFrame:
-    """Price gap of each merged row against its keeper."""
-    keep = listings.select(F.col("id").alias("a"), F.col("source").alias("source_a"), F.col("price_month_idr").alias("price_a"))
-    rows = listings.filter("merged_into is not null").select(F.col("merged_into").alias("a"), F.col("id").alias("b"), F.col("source").alias("source_b"), F.col("price_month_idr").alias("price_b"))
-    pairs = rows.join(keep, "a").filter("price_a > 0 and price_b is not null")
-    return pairs.select("a", "b", "source_a", "source_b", "price_a", "price_b", half_up((F.col("price_b") - F.col("price_a")) / F.col("price_a") * 100, 1).alias("gap_pct"))
-
-
 def source_share(listings: DataFrame, brief: Brief = BRIEF) -> DataFrame:
     rows = market_base(listings, brief).groupBy("source").agg(F.count("*").alias("listings"), F.count_if(F.col("scope") == "in_filter").alias("in_filter"), F.count_if(F.col("flagged") == 1).alias("flagged"))
     totals = rows.agg(F.sum("in_filter").alias("ti"), F.sum("flagged").alias("tf"))  # one row

@@ -2,6 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from hearth.functions.semantics import half_up, nearest_rank
+from hearth.operators import aggregates as A
+from hearth.operators import duplicates as D2
 from hearth.operators import sequences as Q
 from hearth.operators import similarity as D
 from hearth.operators import upsert as U
@@ -28,48 +31,154 @@ def title_dice(spark, sf_dir):
     return D.dice_pairs(names.withColumn("text", F.col("id")), 0.6)
 
 
-_COLUMNS = ["id", "part", "bedrooms", "price_month_idr", "source", "ref", "area", "supplier", "description", "land_m2", "build_m2", "first_seen"]
+FILLED = ["title", "description", "land_m2", "build_m2", "price_month_idr", "price_year_idr", "style", "beach_km"]
+#: Signals of the listings view: the supplier is the contact, two photos and the source's logo, pins of parts and suppliers.
+SIGNALS = {
+    "title": "concat(title, ' ', substr(md5(CAST(part AS STRING)), 1, 20))",
+    "land_m2": "CASE WHEN part % 11 > 0 THEN 50 + (part * 37 + quantity * 13) % 900 END",
+    "build_m2": "CASE WHEN supplier % 9 > 0 THEN 20 + (part * 7 + supplier * 3) % 300 END",
+    "poster": "CASE WHEN linenumber % 3 = 1 THEN concat('u', CAST(supplier % 50 AS STRING)) END",
+    "contacts": "CASE WHEN quantity % 10 < 8 THEN {0}concat('tel', CAST(supplier AS STRING)){1} END",
+    "photos": "{0}concat('p', CAST(part AS STRING), '-', area), concat('q', CAST(part AS STRING), '-', area, '-', CAST(quantity % 3 AS STRING)), concat('logo-', source){1}",
+}
+SIGNALS_SQL = ", ".join(f"{x.format('[', ']')} AS {n}" for n, x in SIGNALS.items() if n != "title")
+
+
+def signal_rows(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumns({n: F.expr(x.format("array(", ")")) for n, x in SIGNALS.items()})
+    return rows.withColumns({"url": F.concat(F.lit("u/"), "id"), "alt_urls": F.array().cast("array<string>")})
+
+
+def _promo(rows):
+    each = rows.filter("availability <> 'gone'").select("area", "bedrooms", F.explode("photos").alias("photo"))
+    return A.repeated_in(each, "photo", "area", "bedrooms")
+
+
 _NEAR = "abs(a.price_month_idr - b.price_month_idr) <= {0} * greatest(a.price_month_idr, b.price_month_idr)"
-CANDIDATES = f"""{WITH_LISTINGS}, R AS (SELECT * FROM L WHERE availability <> 'gone' AND bedrooms IS NOT NULL),
-C AS (SELECT a.id AS id_a, b.id AS id_b, a.source AS source_a, b.source AS source_b, a.first_seen AS first_seen_a, b.first_seen AS first_seen_b,
- least(1.0, floor((CASE WHEN a.area = b.area THEN 0.15 ELSE 0 END + CASE WHEN {_NEAR.format("CAST(0.05 AS DOUBLE)")} THEN 0.25 WHEN {_NEAR.format("CAST(0.1 AS DOUBLE)")} THEN 0.1 ELSE 0 END + CASE WHEN a.supplier = b.supplier THEN 0.35 ELSE 0 END
-  + CASE WHEN length(a.description) >= 40 AND length(b.description) >= 40 AND substr(trim(regexp_replace(lower(a.description), '[^a-z0-9]+', ' ', 'g')), 1, 60) = substr(trim(regexp_replace(lower(b.description), '[^a-z0-9]+', ' ', 'g')), 1, 60) THEN 0.2 ELSE 0 END
-  + CASE WHEN a.land_m2 = b.land_m2 THEN 0.1 ELSE 0 END + CASE WHEN a.build_m2 = b.build_m2 THEN 0.1 ELSE 0 END) * 1000 + 0.5) / CAST(1000 AS DOUBLE)) AS score
- FROM R a JOIN R b ON a.part = b.part AND a.bedrooms = b.bedrooms AND a.id < b.id
- WHERE ({_NEAR.format("CAST(0.15 AS DOUBLE)")} OR a.price_month_idr IS NULL OR b.price_month_idr IS NULL)
-  AND NOT (a.source = b.source AND regexp_extract(a.ref, '^([A-Z]+[0-9]+)[A-Z]?$', 1) = regexp_extract(b.ref, '^([A-Z]+[0-9]+)[A-Z]?$', 1) AND a.ref <> b.ref))"""
+_NORM = "nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), '')"
+ROWS = f"""{WITH_LISTINGS}, S AS MATERIALIZED (SELECT id, source, ref, area, bedrooms, price_month_idr, lat, lng, first_seen, availability, merged_into, {SIGNALS_SQL},
+ {_NORM.format(SIGNALS["title"])} AS title_key, nullif(substr({_NORM.format("description")}, 1, 60), '') AS opening FROM L),
+G AS (SELECT title_key AS t, g, count(*) AS c FROM (SELECT title_key, substr(title_key, CAST(unnest(range(1, greatest(1, length(title_key) - 2) + 1)) AS INT), 3) AS g FROM (SELECT DISTINCT title_key FROM S)) GROUP BY 1, 2),
+N AS (SELECT t, sum(c) AS n FROM G GROUP BY t),
+T AS MATERIALIZED (SELECT x.t AS ta, y.t AS tb, round(2 * CAST(sum(least(x.c, y.c)) AS DOUBLE) / CAST(any_value(s.n) + any_value(u.n) AS DOUBLE), 6) AS dice FROM G x JOIN G y ON x.g = y.g JOIN N s ON s.t = x.t JOIN N u ON u.t = y.t GROUP BY 1, 2 HAVING dice >= 0.6)"""
+_UNIT = "(a.source = b.source AND regexp_extract(a.ref, '^([A-Z]+[0-9]+)[A-Z]?$', 1) = regexp_extract(b.ref, '^([A-Z]+[0-9]+)[A-Z]?$', 1) AND a.ref <> b.ref)"
+_SHARED = "len(list_intersect(a.photos, b.photos))"
+_PIN = "a.lat = b.lat AND a.lng = b.lng"
+_BESIDE = ["a.area = b.area", _PIN, "a.land_m2 = b.land_m2", "a.build_m2 = b.build_m2", "a.poster = b.poster"]
+_ALIKE = ["a.contacts = b.contacts", "a.photos[1] = b.photos[1]", "a.photos[2] = b.photos[2]", "a.opening = b.opening", "a.land_m2 = b.land_m2 AND a.build_m2 = b.build_m2 AND a.poster = b.poster"]
+_ALIKE += [f"{_BESIDE[i]} AND {_BESIDE[j]}" for i in (0, 1) for j in range(1, 5) if i != j]
+_PAIR = "SELECT a.id AS a, b.id AS b FROM R a JOIN {0}R b ON a.bedrooms = b.bedrooms AND a.id < b.id AND {1}"
+#: Pairs that have something in common; a test on the smallest tables compares all pairs instead.
+SOME_PAIRS = " UNION ".join([_PAIR.format("", on) for on in _ALIKE] + [_PAIR.format("T ON T.ta = a.title_key JOIN ", f"b.title_key = T.tb AND {on}") for on in _BESIDE])
+ALL_PAIRS = "SELECT a.id AS a, b.id AS b FROM R a JOIN R b ON a.bedrooms = b.bedrooms AND a.id < b.id"
+CANDIDATES = f"""{ROWS}, R AS MATERIALIZED (SELECT S.* REPLACE (list_filter(photos, lambda p: NOT starts_with(p, 'logo')) AS photos) FROM S WHERE availability <> 'gone' AND bedrooms IS NOT NULL),
+K AS MATERIALIZED ({SOME_PAIRS}),
+P AS (SELECT a.id AS a, b.id AS b, a.source AS source_a, b.source AS source_b, a.first_seen AS first_seen_a, b.first_seen AS first_seen_b, a.title_key AS ta, b.title_key AS tb,
+  CASE WHEN a.area = b.area THEN 150 ELSE 0 END + CASE WHEN {_NEAR.format("CAST(0.05 AS DOUBLE)")} THEN 250 WHEN {_NEAR.format("CAST(0.1 AS DOUBLE)")} THEN 100 ELSE 0 END + CASE WHEN a.contacts = b.contacts THEN 350 ELSE 0 END
+  + CASE {_SHARED} WHEN 0 THEN 0 WHEN 1 THEN 350 ELSE 600 END + CASE WHEN a.opening = b.opening THEN 200 ELSE 0 END + CASE WHEN a.land_m2 = b.land_m2 THEN 100 ELSE 0 END + CASE WHEN a.build_m2 = b.build_m2 THEN 100 ELSE 0 END
+  + CASE WHEN a.lat = b.lat AND a.lng = b.lng THEN 150 ELSE 0 END + CASE WHEN a.poster = b.poster THEN 100 ELSE 0 END AS s
+
+ FROM K JOIN R a ON a.id = K.a JOIN R b ON b.id = K.b WHERE (CASE WHEN a.price_month_idr IS NULL OR b.price_month_idr IS NULL THEN a.area = b.area ELSE {_NEAR.format("CAST(0.15 AS DOUBLE)")} END) AND NOT {_UNIT}),
+C AS MATERIALIZED (SELECT a, b, source_a, source_b, first_seen_a, first_seen_b, least(1000, s + CASE WHEN dice >= 0.8 THEN 200 WHEN dice >= 0.6 THEN 100 ELSE 0 END) / CAST(1000 AS DOUBLE) AS score FROM (SELECT * FROM P WHERE s >= 300) LEFT JOIN T USING (ta, tb))"""
 
 
 def _candidates(spark, sf_dir):
-    rows = listings(spark, sf_dir).filter("availability <> 'gone' and bedrooms is not null").select(*_COLUMNS).withColumnRenamed("supplier", "contact")
-    pairs = D.banded_pairs(rows, ["part", "bedrooms"])
-    pairs = pairs.filter(~D.other_unit(F.col("source_a"), F.col("ref_a"), F.col("source_b"), F.col("ref_b")))
-    return pairs.withColumn("score", D.pair_score())
+    """Pairs of 0.5 and more without promotion pictures; higher scores are filters on them."""
+    rows = signal_rows(spark, sf_dir)
+    return D2.candidates(rows.withColumn("photos", F.filter("photos", lambda p: ~p.startswith("logo"))))
 
 
-@query(f"{CANDIDATES} SELECT id_a AS a, id_b AS b, score FROM C WHERE score >= 0.6")
+@query(f"{CANDIDATES} SELECT a, b, score FROM C WHERE score >= 0.6")
 def dup_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).filter("score >= 0.6").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "score")
+    return _candidates(spark, sf_dir).filter("score >= 0.6").select("a", "b", "score")
 
 
-@query(f"{CANDIDATES}, E AS (SELECT id_a AS listing, score FROM C WHERE score >= 0.6 UNION ALL SELECT id_b, score FROM C WHERE score >= 0.6) SELECT listing, count(*) AS candidates, max(score) AS best FROM E GROUP BY listing")
+@query(f"{CANDIDATES}, E AS (SELECT a AS id, b AS other, score FROM C WHERE score >= 0.5 UNION ALL SELECT b, a, score FROM C WHERE score >= 0.5), O AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place FROM E) SELECT id, other, score, place FROM O WHERE place <= 10")
 def dup_candidates_by_listing(spark, sf_dir):
-    pairs = _candidates(spark, sf_dir).filter("score >= 0.6")
-    return pairs.select(F.explode(F.array("id_a", "id_b")).alias("listing"), "score").groupBy("listing").agg(F.count("*").alias("candidates"), F.max("score").alias("best"))
+    return D2.candidates_of(_candidates(spark, sf_dir), signal_rows(spark, sf_dir).select("id")).select("id", "other", "score", F.col("place").cast("long").alias("place"))
 
 
-@query(f"{CANDIDATES} SELECT id_a, id_b, CASE WHEN (source_a = 's0', first_seen_a, id_a) <= (source_b = 's0', first_seen_b, id_b) THEN id_a ELSE id_b END AS keep FROM C WHERE score >= 0.8")
+@query(f"{CANDIDATES} SELECT a, b, CASE WHEN (source_a = 's0', first_seen_a, a) <= (source_b = 's0', first_seen_b, b) THEN a ELSE b END AS keep FROM C WHERE score >= 0.8")
 def dup_keepers(spark, sf_dir):
-    pairs = _candidates(spark, sf_dir).filter("score >= 0.8").withColumns({"is_post_a": F.col("source_a") == "s0", "is_post_b": F.col("source_b") == "s0"})
-    return pairs.select("id_a", "id_b", F.least(D.keeper_key("a"), D.keeper_key("b"))["i"].alias("keep"))
+    return D2.keeper_first(_candidates(spark, sf_dir).filter("score >= 0.8"), ["s0"]).select("a", "b", "keep")
+
+
+#: Likely pairs that the gaps take, best first.
+MOST_LIKELY = 200
+GAPS = f"""{CANDIDATES}, O AS (SELECT a, b, 'merged' AS kind FROM (SELECT merged_into AS a, id AS b FROM S WHERE merged_into IS NOT NULL) UNION ALL
+ SELECT a, b, 'candidate' FROM (SELECT * FROM C WHERE score >= 0.6 ORDER BY score DESC, a, b LIMIT {MOST_LIKELY}) WHERE source_a IS DISTINCT FROM source_b),
+ U AS (SELECT * FROM O QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY kind DESC, a DESC) = 1),
+ Z AS (SELECT U.a, U.b, x.source AS source_a, y.source AS source_b, x.price_month_idr AS price_a, y.price_month_idr AS price_b, floor((y.price_month_idr - x.price_month_idr) / x.price_month_idr * 100 * 10 + 0.5) / CAST(10 AS DOUBLE) AS gap_pct, kind
+  FROM U JOIN S x ON x.id = U.a JOIN S y ON y.id = U.b WHERE x.price_month_idr > 0 AND y.price_month_idr IS NOT NULL AND U.a <> U.b)"""
+
+
+def _gaps(spark, sf_dir):
+    likely = _candidates(spark, sf_dir).filter("score >= 0.6").orderBy(F.desc("score"), "a", "b").limit(MOST_LIKELY)
+    return D2.cross_source_gaps(listings(spark, sf_dir), likely)
+
+
+@query(f"{GAPS} SELECT * FROM Z ORDER BY abs(gap_pct) DESC, a, b LIMIT 30")
+def cross_source_gaps(spark, sf_dir):
+    return _gaps(spark, sf_dir).orderBy(F.desc(F.abs("gap_pct")), "a", "b").limit(30)
+
+
+@query(f"{GAPS} SELECT count(*) AS n_pairs, floor(quantile_disc(abs(gap_pct), 0.5) * 10 + 0.5) / CAST(10 AS DOUBLE) AS median_gap_pct FROM Z")
+def cross_source_gap_summary(spark, sf_dir):
+    gaps = _gaps(spark, sf_dir).withColumn("g", F.abs("gap_pct"))
+    return gaps.agg(F.count("*").alias("n_pairs"), half_up(nearest_rank(0.5, "g", "double"), 1).alias("median_gap_pct"))
+
+
+#: All logos are promotion pictures: each stands in several areas.
+AUTOMATIC = f"""{ROWS}, R AS MATERIALIZED (SELECT S.* REPLACE (list_filter(photos, lambda p: NOT starts_with(p, 'logo')) AS photos) FROM S WHERE availability <> 'gone' AND merged_into IS NULL),
+P AS (SELECT a.id AS a, b.id AS b, a.title_key AS ta, b.title_key AS tb, a.source IS DISTINCT FROM b.source AS apart, a.opening = b.opening AS same, {_SHARED} AS shared, a.bedrooms = b.bedrooms AND coalesce({_NEAR.format("CAST(0.05 AS DOUBLE)")}, FALSE) AS close,
+  coalesce(a.bedrooms = b.bedrooms, TRUE) AS agree, a.source AS source_a, b.source AS source_b, a.first_seen AS first_seen_a, b.first_seen AS first_seen_b FROM R a JOIN R b ON a.area = b.area AND a.id < b.id WHERE NOT {_UNIT}),
+C AS MATERIALIZED (SELECT *, coalesce(CASE WHEN close THEN CASE WHEN dice >= 0.8 AND apart THEN printf('title similarity %.2f', dice) WHEN same THEN 'same first 60 letters' WHEN shared >= 1 THEN 'shared photo' END END, CASE WHEN agree AND shared >= 2 THEN shared || ' shared photos' END) AS reason FROM P LEFT JOIN T USING (ta, tb))"""
+
+
+@query(f"{AUTOMATIC} SELECT a, b, reason FROM C WHERE reason IS NOT NULL")
+def dup_automatic(spark, sf_dir):
+    rows = signal_rows(spark, sf_dir)
+    return D2.automatic_pairs(rows, _promo(rows)).select("a", "b", "reason")
 
 
 @query()
 def dup_merges(spark, sf_dir):
-    pairs = _candidates(spark, sf_dir).filter("score >= 0.8").withColumns({"is_post_a": F.col("source_a") == "s0", "is_post_b": F.col("source_b") == "s0"})
-    keep = F.least(D.keeper_key("a"), D.keeper_key("b"))["i"]
-    rows = pairs.select(keep.alias("keep"), F.when(keep == F.col("id_a"), F.col("id_b")).otherwise(F.col("id_a")).alias("gone"), F.struct("id_a", "id_b").alias("place"))
-    return D.merge_pass(rows).select("keep", "gone")
+    """Held against a pass over the pairs one by one in the tests."""
+    rows = signal_rows(spark, sf_dir)
+    return D2.merges_of(D2.automatic_pairs(rows, _promo(rows)), ["s0"])
+
+
+@query()
+def dup_settled(spark, sf_dir):
+    rows = signal_rows(spark, sf_dir)
+    return D2.settle_import(rows, ["s0"], "2001-08-01", FILLED, _promo(rows))
+
+
+_MERGES = "SELECT merged_into AS keep, id AS gone FROM L WHERE merged_into IS NOT NULL"
+
+
+@query(f"""{WITH_LISTINGS}, M AS ({_MERGES}), K AS (SELECT M.keep, arg_min(L.land_m2, L.id) FILTER (WHERE L.land_m2 IS NOT NULL) AS land_m2, arg_min(L.price_month_idr, L.id) FILTER (WHERE L.price_month_idr IS NOT NULL) AS price, list_sort(list('u/' || L.id)) AS urls FROM M JOIN L ON L.id = M.gone GROUP BY M.keep)
+ SELECT L.id, CASE WHEN M.gone IS NULL THEN coalesce(L.land_m2, K.land_m2) ELSE L.land_m2 END AS land_m2, CASE WHEN M.gone IS NULL THEN coalesce(L.price_month_idr, K.price) ELSE L.price_month_idr END AS price_month_idr, CASE WHEN M.gone IS NOT NULL THEN '' ELSE coalesce(array_to_string(K.urls, ' '), '') END AS alt_urls,
+ CASE WHEN M.gone IS NOT NULL THEN 'gone' ELSE L.availability END AS availability, CASE WHEN M.gone IS NOT NULL THEN 'merged' ELSE L.removed_reason END AS removed_reason, coalesce(M.keep, L.merged_into) AS merged_into FROM L LEFT JOIN M ON M.gone = L.id LEFT JOIN K ON K.keep = L.id""")
+def merges_applied(spark, sf_dir):
+    rows = signal_rows(spark, sf_dir)
+    merges = rows.filter("merged_into is not null").select(F.col("merged_into").alias("keep"), F.col("id").alias("gone"))
+    out = D2.apply_merges(rows, merges, ["land_m2", "price_month_idr"], "2001-08-01")
+    return out.select("id", "land_m2", "price_month_idr", F.array_join("alt_urls", " ").alias("alt_urls"), "availability", "removed_reason", "merged_into")
+
+
+@query(f"{WITH_LISTINGS}, M AS ({_MERGES}), C AS (SELECT id, 'tel' || supplier % 20 AS contact FROM L) SELECT DISTINCT coalesce(M.keep, C.id) AS id, contact FROM C LEFT JOIN M ON M.gone = C.id")
+def merged_contacts(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    merges = rows.filter("merged_into is not null").select(F.col("merged_into").alias("keep"), F.col("id").alias("gone"))
+    return D2.move_children(rows.select("id", F.expr("concat('tel', CAST(supplier % 20 AS STRING))").alias("contact")), merges, "id", once=True)
+
+
+@query(f"{WITH_LISTINGS}, Q AS (SELECT CASE WHEN linenumber = 1 THEN 'nobody' WHEN linenumber = 2 THEN id ELSE coalesce(merged_into, 'nobody') END AS keep, id AS merge FROM L) SELECT Q.keep, Q.merge, CASE WHEN K.id IS NULL THEN 'not_found' WHEN Q.keep = Q.merge THEN 'same_row' WHEN M.availability = 'gone' OR M.merged_into IS NOT NULL THEN 'already_gone' WHEN K.merged_into IS NOT NULL THEN 'keeper_merged' END AS refusal FROM Q LEFT JOIN L K ON K.id = Q.keep JOIN L M ON M.id = Q.merge")
+def merge_refusals(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    keep = F.expr("CASE WHEN linenumber = 1 THEN 'nobody' WHEN linenumber = 2 THEN id ELSE coalesce(merged_into, 'nobody') END")
+    return D2.manual_merges(rows.select(keep.alias("keep"), F.col("id").alias("merge")), rows)
 
 
 _OLD = "SELECT id, title, price_month_idr, availability, build_m2, land_m2, furniture_quality, last_seen, removed_at, merged_into FROM L WHERE linenumber <= 5"

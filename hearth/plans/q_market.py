@@ -116,20 +116,6 @@ def inclusions_premium(spark, sf_dir):
     return M.inclusions_premium(listings(spark, sf_dir))
 
 
-GAPS = f"{WITH_LISTINGS}, G AS (SELECT k.id AS a, m.id AS b, k.source AS source_a, m.source AS source_b, k.price_month_idr AS price_a, m.price_month_idr AS price_b, floor((m.price_month_idr - k.price_month_idr) / k.price_month_idr * 100 * 10 + 0.5) / CAST(10 AS DOUBLE) AS gap_pct FROM L m JOIN L k ON k.id = m.merged_into WHERE k.price_month_idr > 0 AND m.price_month_idr IS NOT NULL)"
-
-
-@query(f"{GAPS} SELECT * FROM G ORDER BY abs(gap_pct) DESC, a, b LIMIT 30")
-def cross_source_gaps(spark, sf_dir):
-    return M.merged_gaps(listings(spark, sf_dir)).orderBy(F.desc(F.abs("gap_pct")), "a", "b").limit(30)
-
-
-@query(f"{GAPS} SELECT count(*) AS n_pairs, floor(quantile_disc(abs(gap_pct), 0.5) * 10 + 0.5) / CAST(10 AS DOUBLE) AS median_gap_pct FROM G")
-def cross_source_gap_summary(spark, sf_dir):
-    gaps = M.merged_gaps(listings(spark, sf_dir)).withColumn("g", F.abs("gap_pct"))
-    return gaps.agg(F.count("*").alias("n_pairs"), half_up(M.nearest_rank(0.5, "g", "double"), 1).alias("median_gap_pct"))
-
-
 @query(f"""{BASE}, S AS (SELECT source, count(*) AS listings, count(*) FILTER (WHERE scope = 'in_filter') AS in_filter, count(*) FILTER (WHERE flagged = 1) AS flagged FROM B GROUP BY source)
 SELECT *, floor(in_filter / sum(in_filter) OVER () * 100 * 10 + 0.5) / CAST(10 AS DOUBLE) AS share_in_filter_pct, floor(flagged / sum(flagged) OVER () * 100 * 10 + 0.5) / CAST(10 AS DOUBLE) AS share_flagged_pct FROM S""")
 def source_share(spark, sf_dir):
