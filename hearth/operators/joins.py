@@ -30,18 +30,21 @@ def not_dismissed(pairs: DataFrame, dismissed: DataFrame) -> DataFrame:
     return pairs.join(ordered, (F.least("a", "b") == F.col("__low")) & (F.greatest("a", "b") == F.col("__high")), "left_anti")
 
 
-def shared_contacts(contacts: DataFrame, most: int = 50) -> DataFrame:
-    """id, phone_key -> a, b: rows that share a number.
+def shared_contacts(contacts: DataFrame) -> DataFrame:
+    """id, phone_key -> phone_key, id, first, rows: each row with a number that others have too, beside the class's first row.
 
-    A number of more than `most` rows is an agency's: its rows are linked to the first of them, not all with each other.
+    Two rows share a number if they stand in one class, whatever its size; classes aren't expanded into pairs.
     """
-    keyed = contacts.filter("phone_key is not null").distinct()
-    sizes = keyed.groupBy("phone_key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")
-    rows = keyed.join(sizes, "phone_key")
-    star = rows.filter((F.col("n") > most) & (F.col("id") != F.col("first"))).select(F.col("first").alias("a"), F.col("id").alias("b"))
-    few = rows.filter(F.col("n") <= most).select("phone_key", "id")
-    pairs = few.select("phone_key", F.col("id").alias("a")).join(few.select("phone_key", F.col("id").alias("b")), "phone_key").filter("a < b").select("a", "b")
-    return pairs.unionByName(star).distinct()
+    keyed = contacts.filter("phone_key is not null").select("phone_key", "id").distinct()
+    sizes = keyed.groupBy("phone_key").agg(F.min("id").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    return keyed.join(sizes, "phone_key")
+
+
+def pairs_sharing_contact(pairs: DataFrame, contacts: DataFrame) -> DataFrame:
+    """The given pairs (a, b) that have a number in common: any equal key counts."""
+    keys = contacts.filter("phone_key is not null").groupBy("id").agg(F.collect_set("phone_key").alias("keys"))
+    side = lambda s: keys.select(F.col("id").alias(s), F.col("keys").alias(f"keys_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.arrays_overlap("keys_a", "keys_b")).select("a", "b")
 
 
 def first_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -50,10 +53,17 @@ def first_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 
 def same_first_photo(rows: DataFrame, share: float = 0.15) -> DataFrame:
-    """id -> match: the smallest other id of the area with the same first photo and a price within the share."""
-    side = lambda p: rows.filter("photo is not null").select(F.col("id").alias(f"{p}id"), "area", "photo", F.col("price").alias(f"{p}price"))
+    """id -> match: the smallest other id of the area with the same first photo and a price within the share.
+
+    Prices are dealt into bands as wide as the share, and each row meets its own and the two beside it only.
+    """
+    import math
+
+    known = rows.filter("photo is not null and price > 0").withColumn("band", F.floor(F.ln("price") / -math.log(1 - share)))
+    left = known.select(F.col("id").alias("lid"), "area", "photo", F.col("price").alias("lprice"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = known.select(F.col("id").alias("rid"), "area", "photo", F.col("price").alias("rprice"), "band")
     close = F.abs(F.col("lprice") - F.col("rprice")) <= share * F.greatest("lprice", "rprice")
-    both = side("l").join(side("r"), ["area", "photo"]).filter((F.col("lid") != F.col("rid")) & close)
+    both = left.join(right, ["area", "photo", "band"]).filter((F.col("lid") != F.col("rid")) & close)
     return both.groupBy(F.col("lid").alias("id")).agg(F.min("rid").alias("match"))
 
 

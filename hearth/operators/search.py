@@ -195,11 +195,8 @@ def overlay(listings: DataFrame, states: DataFrame, team: int) -> DataFrame:
     return listings.join(own, "id", "left").withColumn("status", F.coalesce("own_status", F.col("status") if team == 0 else F.lit("new"))).drop("own_status")
 
 
-def nearest_of(rows: DataFrame, points: DataFrame, road_factor: float = 1.3) -> DataFrame:
-    """id, nearest point's name, km: points are a constant table of a few rows."""
-    pairs = rows.select("id", "lat", "lng").crossJoin(F.broadcast(points))
-    km = haversine_km(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
-    best = pairs.groupBy("id").agg(F.min(F.struct(km.alias("km"), "name")).alias("b"))
-    return best.select("id", F.col("b.name").alias("name"), half_up(F.col("b.km") * road_factor, 1).alias("km"))
-
-
+def nearest_of(rows: DataFrame, points: list[tuple[str, float, float]], road_factor: float = 1.3) -> DataFrame:
+    """id, nearest point's name, km: the points (name, lat, lng) are a short list, so nothing is joined or shuffled."""
+    each = F.array(*[F.struct(haversine_km(F.col("lat"), F.col("lng"), F.lit(lat), F.lit(lng)).alias("km"), F.lit(name).alias("name")) for name, lat, lng in points])
+    best = F.array_min(each)
+    return rows.select("id", best["name"].alias("name"), half_up(best["km"] * road_factor, 1).alias("km"))

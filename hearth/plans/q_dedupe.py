@@ -13,12 +13,15 @@ from hearth.session import table
 from hearth.sources.listings import WITH_LISTINGS, WITH_POINTS, listings, price_points
 from hearth.streaming import events as X
 
-HASHES = "H AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
+#: Each vector's signs, and a copy with its first bits turned over.
+HASHES = "H0 AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings), H AS (SELECT id, bits FROM H0 UNION ALL SELECT id + 1000000, list_transform(bits, lambda x, i: CASE WHEN i <= 1 + id % 8 THEN 1 - x ELSE x END) FROM H0)"
 
 
 @query(f"WITH {HASHES} SELECT a.id AS a, b.id AS b, CAST(len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2])) AS INT) AS distance FROM H a JOIN H b ON a.id < b.id WHERE len(list_filter(list_zip(a.bits, b.bits), lambda p: p[1] <> p[2])) <= 6")
 def hamming_pairs(spark, sf_dir):
     hashes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), D.sign_bits(F.col("embedding")).alias("hash"))
+    turned = F.col("hash").bitwiseXOR(F.expr("shiftleft(1L, CAST(1 + id % 8 AS INT)) - 1"))
+    hashes = hashes.unionByName(hashes.select((F.col("id") + 1_000_000).alias("id"), turned.alias("hash")))
     return D.close_hashes(hashes).select("a", "b", F.col("distance").cast("int").alias("distance"))
 
 

@@ -40,11 +40,20 @@ def pairs_not_dismissed(spark, sf_dir):
 
 @query(
     """WITH K AS (SELECT s_suppkey AS id, CAST(s_suppkey % 40 AS VARCHAR) AS k FROM supplier), N AS (SELECT k, count(*) AS n, min(id) AS f FROM K GROUP BY k)
-  SELECT x.id AS a, y.id AS b FROM K x JOIN K y USING (k) JOIN N USING (k) WHERE x.id < y.id AND (n <= 20 OR x.id = f)"""
+  SELECT '000' || lpad(k, 4, '0') AS key, id, f AS first, n AS rows FROM K JOIN N USING (k) WHERE n > 1"""
 )
 def shared_contacts(spark, sf_dir):
     phone = F.concat(F.lit("+62 812-000"), F.lpad((F.col("s_suppkey") % 40).cast("string"), 4, "0"))
-    return J.shared_contacts(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.phone_key(phone).alias("phone_key")), most=20)
+    out = J.shared_contacts(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), T.phone_key(phone).alias("phone_key")))
+    return out.select(F.right("phone_key", F.lit(7)).alias("key"), "id", "first", "rows")
+
+
+@query("WITH K AS (SELECT s_suppkey AS id, s_suppkey % 40 AS k, s_suppkey % 7 AS j FROM supplier) SELECT x.id AS a, y.id AS b FROM K x JOIN K y ON y.id = x.id + 40 OR y.id = x.id + 35 OR y.id = x.id + 1 WHERE x.k = y.k OR x.j = y.j")
+def pairs_sharing_contact(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    keys = rows.select("id", F.explode(F.array(F.concat(F.lit("k"), F.col("id") % 40), F.concat(F.lit("j"), F.col("id") % 7))).alias("phone_key"))
+    pairs = rows.select(F.col("id").alias("a"), F.explode(F.array(F.col("id") + 40, F.col("id") + 35, F.col("id") + 1)).alias("b"))
+    return J.pairs_sharing_contact(pairs, keys)
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_name, 'large') THEN 'big' WHEN contains(p_name, 'small') THEN 'little' WHEN regexp_matches(p_name, '(^| )(gear|bolt)') THEN 'metal' END AS kind FROM part")
@@ -72,10 +81,10 @@ def team_members(spark, sf_dir):
     return out.select("n_nationkey", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query("SELECT source, lang, text FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id % 3 = 0, length(text) DESC, text DESC) AS r FROM documents WHERE NOT contains(text, chr(0))) WHERE r = 1")
+@query("SELECT source, lang, md5(text) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id % 3 = 0, length(text) DESC, text DESC) AS r FROM documents) WHERE r = 1")
 def best_records(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("\0"))).select("source", "lang", "text", (F.col("doc_id") % 3 == 0).alias("truncated"))
-    return V.best_records(rows, ["source", "lang"]).select("source", "lang", "text")
+    rows = table(spark, sf_dir, "documents").select("source", "lang", "text", (F.col("doc_id") % 3 == 0).alias("truncated"))
+    return V.best_records(rows, ["source", "lang"]).select("source", "lang", F.md5("text").alias("digest"))
 
 
 @query("SELECT n_name AS key, coalesce(day - 2, DATE '2001-08-01' - 30) AS since, CASE WHEN day IS NULL THEN 'first' ELSE 'again' END AS kind, row_number() OVER (ORDER BY day IS NULL, day, n_nationkey, n_name) AS place FROM nation LEFT JOIN (SELECT s_nationkey, DATE '2001-07-01' + CAST(max(s_suppkey) % 28 AS INT) AS day FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY s_nationkey) ON s_nationkey = n_nationkey")

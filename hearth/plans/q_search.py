@@ -146,8 +146,7 @@ _POINTS = ", ".join(f"('{n}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for n,
 @query(f"""{WITH_LISTINGS}, P(name, p_lat, p_lng) AS (VALUES {_POINTS}), D AS (SELECT id, name, 2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(p_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(p_lat)) * pow(sin(radians(p_lng - lng) / 2), 2)))) AS km FROM L CROSS JOIN P)
 SELECT id, arg_min(name, km) AS name, {R1.format("min(km) * 1.3")} AS km FROM D GROUP BY id""")
 def nearest_beach(spark, sf_dir):
-    points = spark.createDataFrame(BEACHES, "name string, p_lat double, p_lng double")
-    return S.nearest_of(listings(spark, sf_dir).withColumns({"lat": F.col("lat").cast("double"), "lng": F.col("lng").cast("double")}), points)
+    return S.nearest_of(listings(spark, sf_dir).withColumns({"lat": F.col("lat").cast("double"), "lng": F.col("lng").cast("double")}), BEACHES)
 
 
 _W = WEIGHTS

@@ -46,8 +46,9 @@ SELECT concat_ws('-', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRIN
   CASE WHEN l.l_quantity >= 40 THEN 1 ELSE 0 END AS flagged, CAST(CAST(l.l_quantity AS INT) * 2 AS INT) AS stored_fit,
   CASE p.p_size % 4 WHEN 0 THEN '{{"Electricity":"Included","Cleaning staff":"No"}}' WHEN 1 THEN '{{"Electricity bill":"Not included"}}' WHEN 2 THEN '{{"Housekeeping":"Yes","Internet":"Included"}}' END AS inclusions,
   l.l_linenumber AS linenumber, CAST(l.l_quantity AS INT) AS quantity,
-  CASE WHEN l.l_linenumber = 4 AND l.l_quantity < 12 THEN min(concat_ws('-', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRING), CAST(l.l_partkey AS STRING), CAST(l.l_suppkey AS STRING), CAST(CAST(floor(l.l_extendedprice * 100 + 0.5) AS BIGINT) AS STRING), CAST(CAST(l.l_quantity AS INT) AS STRING))) OVER (PARTITION BY l.l_partkey) END AS merged_into
+  CASE WHEN l.l_linenumber = 4 AND l.l_quantity < 12 THEN k.first_id END AS merged_into
 FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {part} p ON p.p_partkey = l.l_partkey
+JOIN (SELECT l_partkey AS k_partkey, min(concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS STRING), CAST(CAST(l_quantity AS INT) AS STRING))) AS first_id FROM {lineitem} GROUP BY l_partkey) k ON k.k_partkey = l.l_partkey
 JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {nation} n ON n.n_nationkey = s.s_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
 """
 _TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region")
