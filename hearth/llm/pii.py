@@ -1,6 +1,6 @@
 """PII pseudonyms by Feistel networks that preserve format.
 
-Found and checked: e-mail addresses, IPv4 addresses (bytes up to 255), dates (from 1900-01-01 to 2099-11-14, by the
+Found and checked: e-mail addresses, IPv4 addresses (bytes up to 255), dates (from 1900-01-01 to 2099-12-31, by the
 calendar), social security numbers (assignable ones), phone numbers (10 to 15 digits) and card numbers (13 to 19
 digits with a right check digit). A value is brought to a canonical form (digits, a day, a number), permuted under the
 key within its format, and written back into the separators of the place where it stood. The permutation depends on
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-FIRST_DAY, DAYS = "1900-01-01", (250, 292)
+FIRST_DAY, DAYS = "1900-01-01", (17, 4297)
 #: Assignable area and group numbers, and serial numbers, less one.
 SSN = (898 * 99, 9999)
 

@@ -63,6 +63,16 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIM, (BUCKETS, 2)), rng.choice([-1.0, 1.0], (BUCKETS, 2))
 
 
+def fitting(table: np.ndarray) -> Iterator[np.ndarray]:
+    """Tables of 32-bit counts that sum up to the table: one, unless a task counted very much."""
+    limit = (1 << 31) - 1
+    while np.abs(table).max(initial=0) > limit:
+        part = np.clip(table, -limit, limit)
+        yield part.astype("<i4")
+        table = table - part
+    yield table.astype("<i4")
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     places, signs = index_vectors()
     total, seen, any_rows = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS), False
@@ -84,8 +94,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         for k in (0, 1):
                             total += np.bincount(word * DIM + places[near, k], signs[near, k], BUCKETS * DIM)
     if any_rows:
-        table = np.concatenate((total.reshape(BUCKETS, DIM), seen[:, None]), axis=1).astype("<i4")
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(table, PARTS)], pa.binary())], names=["part", "sums"])
+        for table in fitting(np.concatenate((total.reshape(BUCKETS, DIM), seen[:, None]), axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in np.split(table, PARTS)], pa.binary())], names=["part", "sums"])
 
 
 def _add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,34 @@ def test_counts_are_the_same_in_parts():
     split = next(Q._count_batches(iter([pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]) for t in texts])))
     one, two = (np.frombuffer(b"".join(x.column("sums").to_pylist()), "<i4").reshape(-1, Q.DIM + 1) for x in (whole, split))
     assert (one[3:, -1] == two[3:, -1]).all() and (one[3:] == two[3:]).all()
+
+
+def test_vectors_and_pooling_equal_plain_python(spark):
+    """Word by word: neighbours' index vectors summed, then a document's mean and root mean square."""
+    texts = [*ODD, prose(1, 300), "CAPS word word, again 12 12!", prose(2, 80) + " SHOUT"]
+    places, signs = Q.index_vectors()
+    sums = np.zeros((Q.BUCKETS, Q.DIM))
+    for text in texts:
+        stream = [Q.EDGE, Q.EDGE, *Q.word_ids(text), Q.EDGE, Q.EDGE]
+        for i, word in enumerate(stream):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(stream):
+                    for k in (0, 1):
+                        sums[word, places[stream[j], k]] += signs[stream[j], k]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    got = Q.word_vectors(docs(spark, texts))
+    assert np.allclose(got[3:], want[3:], atol=1e-6)  # markers' rows see neighbouring documents
+    for text in texts:
+        ids = Q.word_ids(text)
+        x = Q.pooled(text, got)
+        if ids:
+            rows = got[ids]
+            assert np.allclose(x[: Q.DIM], rows.mean(axis=0), atol=1e-5) and np.allclose(x[Q.DIM : 2 * Q.DIM], np.sqrt((rows * rows).mean(axis=0)), atol=1e-5)
+        else:
+            assert not x.any()
+
+
+def test_large_counts_are_split():
+    big = np.array([[3_000_000_000, -5], [1, 2]])
+    parts = list(Q.fitting(big))
+    assert sum(p.astype(np.int64) for p in parts).tolist() == big.tolist() and all(p.dtype == np.dtype("<i4") for p in parts)

@@ -46,3 +46,47 @@ def test_hot_group_and_odd_rows(spark):
     assert not any(r["linked"] for r in rows if r["text_crc32"] == 0 and r["size"] == 16 and r["doc_id"] == 5)
     assert H.shard(docs(spark, [])).count() == 0
     check(H.shard(docs(spark, ["a", "b"]), shards=5).collect(), 5)
+
+
+def test_links_are_rarely_cut(spark):
+    """Brute force over all links of the table: a group that fits into a shard lies in one, but for what evening out moves."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
+    shard = {r["doc_id"]: r["shard"] for r in op3_shard(spark, sf).collect()}
+    groups = {}
+    for i, t in texts.items():
+        if t is not None:
+            groups.setdefault(t, []).append(i)
+    share = -(-len(texts) // 40)
+    links = cut = 0
+    for ids in groups.values():
+        if 1 < len(ids) <= share:
+            links += len(ids) * (len(ids) - 1) // 2
+            cut += sum(shard[a] != shard[b] for k, a in enumerate(ids) for b in ids[k + 1 :])
+    assert links and cut < 0.25 * links  # dealt by hash, 39 of 40 would be cut
+
+
+def test_propagation_ends_with_each_group_where_it_can_be(spark):
+    """No block has room at a better label of its group; labels hold no more than the quota, where they did not before."""
+    rows = [(g, h, n) for g in range(30) for h, n in ((g % 5, 1 + g % 3), ((g + 2) % 5, 1 + g % 4), ((g * 7 + 1) % 5, 1))]
+    merged = {}
+    for g, h, n in rows:
+        merged[g, h] = merged.get((g, h), 0) + n
+    blocks = spark.createDataFrame([(g, h, n) for (g, h), n in merged.items()], "g long, home int, n long")
+    quota = int(1.25 * sum(merged.values()) / 5)
+    start = Counter()
+    for (_, h), n in merged.items():
+        start[h] += n
+    out = H.propagate(blocks, 5, quota).collect()
+    assert {(r["g"], r["home"]): r["n"] for r in out} == merged
+    load = Counter()
+    for r in out:
+        load[r["label"]] += r["n"]
+    assert all(load[s] <= max(quota, start[s]) for s in range(5))
+    held = Counter()
+    for r in out:
+        held[r["g"], r["label"]] += r["n"]
+    for r in out:
+        here = held[r["g"], r["label"]]
+        better = [(m, -s) for (g, s), m in held.items() if g == r["g"] and (m, -s) > (here, -r["label"]) and quota - load[s] >= r["n"]]
+        assert not better
