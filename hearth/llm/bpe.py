@@ -11,8 +11,9 @@ A byte-level vocabulary whose ids stand in the order of its merges is encoded by
 library's ids in a third of the time; other vocabularies, and texts that tiktoken refuses (millions of blanks in a
 row), by the tokenizers library itself.
 
-Null texts are empty texts. Equal texts get equal results. An empty table gives no rows. Other columns are ignored by
-`encode` and kept by `add_ids`. A text's pieces meet in one task, as its digests need all of them in order.
+Null texts are empty texts. Equal texts get equal results. Repeated rows get a row each. An empty table gives no rows. Other
+columns are ignored. Very long texts are encoded whole: a text's pieces meet in one task, as its digests need all of
+them in order.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from hearth.session import settle
 
 VOCABULARY = "byte_bpe_50k.json"
 MIN_CHUNK, MEAN_BITS = 256, 10
+HOT_CHUNKS = 1_000
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 11) for b in range(256)], dtype=np.uint32)
 FIRST_CUT, LAST_CUT = re.compile(rb"[!-~](?=[ \n])"), re.compile(rb"(?s).*[!-~](?=[ \n])")
 
@@ -268,21 +270,35 @@ def _assemble(path: str):
     return run
 
 
+def checked(path: str) -> str:
+    """The path, if no added token goes across a sure cut: none may hold a blank or a line feed."""
+    with open(path, encoding="utf-8") as file:
+        added = [x["content"] for x in json.load(file)["added_tokens"]]
+    if wrong := [x for x in added if re.search(r"[ \n]", x)]:
+        raise ValueError(f"added tokens with blanks: {wrong}")
+    return path
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    path = path or vocabulary_path()
+    path = checked(path or vocabulary_path())
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", F.unhex(F.md5(text)).alias("tkey"), text.alias("text"))
     counts = keyed.select("text").mapInArrow(_hash_chunks, "h binary").groupBy("h").agg(F.count("*").alias("n"))
-    bits = bitmap(counts.filter("n > 1").select(F.conv(F.substring(F.hex("h"), 1, 16), 16, -10).cast("long").alias("slot")))
+    counts = settle(counts.filter("n > 1"), "chunks")
+    bits = bitmap(counts.select(F.conv(F.substring(F.hex("h"), 1, 16), 16, -10).cast("long").alias("slot")))
     shared = keyed.select("text").mapInArrow(_shared_chunks(bits), "h binary, chunk binary").groupBy("h").agg(F.first("chunk").alias("chunk"))
-    encoded = shared.mapInArrow(_encode_chunks(path), "h binary, solid boolean, ids binary, head binary, tail binary")
+    encoded = settle(shared.mapInArrow(_encode_chunks(path), "h binary, solid boolean, ids binary, head binary, tail binary"), "encoded")
 
     pieces = settle(keyed.select("tkey", "text").mapInArrow(_pieces(bits, path), PIECE), "pieces")
     done = pieces.filter("seq = -1").dropDuplicates(["tkey"]).select("tkey", F.from_json(F.col("ids").cast("string"), "array<string>").alias("d"))
     done = done.select("tkey", F.get("d", F.lit(0)).cast("long").alias("n_tokens"), F.get("d", F.lit(1)).alias("ids_sha256"), F.get("d", F.lit(2)).alias("decoded_sha256"))
     parts = pieces.filter("seq >= 0").dropDuplicates(["tkey", "seq"])
-    refs = parts.filter("h is not null").select("tkey", "seq", "h").join(encoded, "h")
+    # chunks that stand in a great share of all places are joined by broadcast: fewer than HOT_CHUNKS, of bounded size
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counts.filter(F.col("n") * HOT_CHUNKS > total).select("h"))
+    asked = parts.filter("h is not null").select("tkey", "seq", "h")
+    refs = asked.join(hot, "h", "left_anti").join(encoded, "h").unionByName(asked.join(F.broadcast(encoded.join(hot, "h")), "h"))
     names = ["tkey", "seq", "solid", "ids", "head", "tail"]
     parts = parts.filter("h is null").select(*names).unionByName(refs.select(*names))
     joined = parts.repartition("tkey").sortWithinPartitions("tkey", "seq").mapInArrow(_assemble(path), RESULT)

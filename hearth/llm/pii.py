@@ -11,7 +11,8 @@ In a run of groups of digits, the groups that form a card as cards are printed (
 first, wherever they stand in the run (before an expiry date, after a reference number). What remains of the run is
 searched for all kinds, and there a card may have any grouping.
 
-Null texts stay null, empty ones empty; very long texts are whole. Only DataFrame functions are used: each row is
+Null texts stay null, empty ones empty; very long texts are whole; equal rows get equal texts. Where two kinds fit one
+place, the first of those listed above wins. Only DataFrame functions are used: each row is
 worked on where it is, without a shuffle. Columns other than text are kept; an empty table gives no rows.
 """
 

@@ -7,7 +7,7 @@ in capitals and immediate repetitions put markers into the stream of words. The
 most `sample` labelled rows, and its probabilities are calibrated by a temperature on a part of them that training
 doesn't see.
 
-Null and empty texts have no words and get the score of an empty document. Null doc_ids aren't held out and have no
+Equal rows get equal scores; very long texts are read whole. Null and empty texts have no words and get the score of an empty document. Null doc_ids aren't held out and have no
 labels. If a doc_id has several labels the larger counts; null labels don't count. If the labels are all alike or there
 are none, all scores are the share of label 1 (0.5 if there are none). Empty tables give no rows. Other columns are
 ignored by `scores` and kept by `keep_good`.

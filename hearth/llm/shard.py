@@ -5,7 +5,7 @@ of a group (its rows on one shard) move to the shard that holds most of the grou
 shard is limited by its quota. A move goes to where the group has as many rows or more, so rounds end by themselves. Then counts are made even: shard sizes in rows differ by at most one, and what is over
 a shard's share (documents without links first) goes to shards that lack rows.
 
-Null texts are never linked; equal rows each get a slot of their own; an empty table gives no rows. Ties go to the
+Null texts are never linked; very long texts count as one row; equal rows each get a slot of their own; an empty table gives no rows. Ties go to the
 smaller shard. Columns other than doc_id and text are ignored.
 """
 

@@ -15,7 +15,7 @@ two sets differ by no more than the sets do, a pair whose counts differ too much
 no similar pair is. Survivors are verified by their whole sets of shingles.
 
 Null and empty texts have fingerprint zero and link with each other. Null doc_ids get the component's smallest doc_id.
-Repeated rows get equal results; an empty table gives none; other columns are ignored by `near_duplicates` and kept by
+Very long texts are hashed whole, in parts. Repeated rows get equal results; an empty table gives none; other columns are ignored by `near_duplicates` and kept by
 `deduplicate`.
 """
 

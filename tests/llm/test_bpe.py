@@ -62,3 +62,29 @@ def test_fast_encoder_equals_the_library():
     assert all(a.tolist() == b.ids for a, b in zip(B.encode_texts([t.encode() for t in texts], path), want))
     other = Tokenizer.from_file(B.vocabulary_path("word_bpe_49k.json")).encode("Some words", add_special_tokens=False).ids
     assert B.encode_texts([b"Some words"], B.vocabulary_path("word_bpe_49k.json"))[0].tolist() == other
+
+
+def test_added_tokens_with_blanks_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"added_tokens": [{"content": "<a b>", "id": 0}]}))
+    with pytest.raises(ValueError):
+        B.checked(str(path))
+    assert B.checked(B.vocabulary_path()) == B.vocabulary_path()
+
+
+def test_hot_chunks_are_joined_alike(spark):
+    """A passage in most texts, joined by broadcast or not."""
+    passage = prose(3, 900)
+    texts = [prose(50 + i, 40) + " " + passage + " " + prose(90 + i, 40) for i in range(12)]
+    tok = tokenizer()
+    for keys in (1_000, 0):
+        B.HOT_CHUNKS, old = keys, B.HOT_CHUNKS
+        try:
+            got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in B.encode(docs(spark, texts)).collect()}
+        finally:
+            B.HOT_CHUNKS = old
+        assert got == {i: brute(t, tok) for i, t in enumerate(texts)}
