@@ -50,30 +50,26 @@ def photo_hashes(images: DataFrame) -> DataFrame:
     return images.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "origin string, hash string")
 
 
-def _same(a: dict, b: dict) -> bool:
-    if a["url"] and a["url"] == b["url"]:
-        return True
-    try:
-        return (int(a["hash"], 16) ^ int(b["hash"], 16)).bit_count() <= SAME_BITS
-    except (TypeError, ValueError):  # no hash, or a malformed one
-        return False
+def _bits(hash: Column) -> Column:
+    """A hash of hex digits as a number; null if it is malformed."""
+    return F.when(hash.rlike("^[0-9a-fA-F]{1,16}$"), F.conv(hash, 16, -10).cast("long"))
 
 
-def _count_shared(a, b) -> int:
-    rest, n = list(b if b is not None else ()), 0
-    for photo in a if a is not None else ():
-        hit = next((i for i, other in enumerate(rest) if _same(photo, other)), None)
-        if hit is not None:
-            del rest[hit]
-            n += 1
-    return n
+def same_photo(a: Column, b: Column) -> Column:
+    """Equal addresses, or hashes within SAME_BITS; what is malformed is never the same."""
+    close = F.bit_count(_bits(a["hash"]).bitwiseXOR(_bits(b["hash"]))) <= SAME_BITS
+    return F.coalesce((a["url"] == b["url"]) & (a["url"] != ""), F.lit(False)) | F.coalesce(close, F.lit(False))
 
 
 def shared_photos(left: Column, right: Column) -> Column:
     """Photos (arrays of struct<url, hash>) of two listings that are the same, each used once, in their order."""
+    kind = "array<struct<url:string,hash:string>>"
+    pack = lambda rest, n: F.struct(rest.cast(kind).alias("rest"), n.cast("int").alias("n"))
 
-    @F.pandas_udf("int")
-    def of(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_count_shared(x, y) for x, y in zip(a, b)], dtype="int32")
+    def take(s: Column, photo: Column) -> Column:
+        at = F.array_position(F.transform(s["rest"], lambda other: same_photo(photo, other)), True).cast("int")
+        rest = F.concat(F.slice(s["rest"], F.lit(1), at - 1), F.slice(s["rest"], at + 1, F.size(s["rest"])))
+        return F.when(at > 0, pack(rest, s["n"] + 1)).otherwise(s)
 
-    return of(left, right)
+    none = F.array().cast(kind)
+    return F.aggregate(F.coalesce(left, none), pack(F.coalesce(right, none), F.lit(0)), take, lambda s: s["n"])

@@ -106,3 +106,48 @@ def next_data(html: Column) -> Column:
 
 def inertia(html: Column) -> Column:
     return F.try_parse_json(entities(_part(html, r'(?is)\bdata-page="([^"]*)"', 1)))
+
+
+def literal_to_json(source: Column) -> Column:
+    """A script's object literal as JSON: names quoted, single quotes turned, trailing commas dropped; null if it still isn't JSON."""
+    turned = F.regexp_replace(source, r"'((?:[^'\\\\\"]|\\\\.)*)'", "\"$1\"")
+    named = F.regexp_replace(turned, r"([{,]\s*)([A-Za-z_$][\w$]*)\s*:", "$1\"$2\":")
+    plain = F.regexp_replace(F.regexp_replace(named, r",(\s*[}\]])", "$1"), r":\s*undefined\b", ":null")
+    return F.when(F.try_parse_json(plain).isNotNull(), plain)
+
+
+def hydration(html: Column, name: str) -> Column:
+    """The object that a page's script assigns to window.<name>, as JSON."""
+    return literal_to_json(_part(html, rf"(?is)window\.{name}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1))
+
+
+def generic_page(html: Column) -> Column:
+    """struct of what any page says of a home: title, description, picture, price, rooms, sizes, chat number and map."""
+    from hearth.functions import facts, notes
+
+    meta, text = meta_tags(html), html_text(html)
+    price, sizes = notes.price_in_window(text), notes.land_and_building(text)
+    tag = lambda *names: F.coalesce(*[F.nullif(F.trim(entities(F.try_element_at(meta, F.lit(n)))), F.lit("")) for n in names])
+    return F.struct(
+        F.coalesce(tag("og:title", "twitter:title"), page_title(html)).alias("title"),
+        tag("og:description", "twitter:description").alias("description"),
+        tag("og:image", "twitter:image").alias("image"),
+        price["amount"].alias("price"),
+        price["per"].alias("per"),
+        facts.bedrooms(text).alias("bedrooms"),
+        sizes["land_m2"].alias("land_m2"),
+        sizes["build_m2"].alias("build_m2"),
+        notes.whatsapp_link(html).alias("whatsapp"),
+        notes.map_link(html).alias("map_url"),
+    )
+
+
+def index_card(text: Column) -> Column:
+    """struct<ref, price, per, bedrooms> of an index card's text; null if it holds more than one reference, price or number
+    of rooms: then several cards have run together."""
+    from hearth.functions import facts
+
+    many = lambda pattern: F.size(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(pattern), F.lit(0)))) > 1
+    dirty = many(r"\bRF\d+[A-Z]?\b") | many(r"(?:IDR|RP\.?)\s*\d[\d.,]*") | many(r"BEDROOMS?\s*:\s*>?\s*\d")
+    price = facts.price_field(text)
+    return F.when(~dirty, F.struct(F.nullif(F.regexp_extract(F.upper(text), r"\bRF\d+[A-Z]?\b", 0), F.lit("")).alias("ref"), price["amount"].alias("price"), price["per"].alias("per"), facts.bedrooms(text).alias("bedrooms")))
