@@ -76,15 +76,9 @@ def test_added_tokens_with_blanks_are_refused(tmp_path):
     assert B.checked(B.vocabulary_path()) == B.vocabulary_path()
 
 
-def test_hot_chunks_are_joined_alike(spark):
-    """A passage in most texts, joined by broadcast or not."""
+def test_a_passage_in_most_texts(spark):
     passage = prose(3, 900)
     texts = [prose(50 + i, 40) + " " + passage + " " + prose(90 + i, 40) for i in range(12)]
     tok = tokenizer()
-    for keys in (1_000, 0):
-        B.HOT_CHUNKS, old = keys, B.HOT_CHUNKS
-        try:
-            got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in B.encode(docs(spark, texts)).collect()}
-        finally:
-            B.HOT_CHUNKS = old
-        assert got == {i: brute(t, tok) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in B.encode(docs(spark, texts)).collect()}
+    assert got == {i: brute(t, tok) for i, t in enumerate(texts)}
