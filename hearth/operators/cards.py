@@ -143,3 +143,33 @@ def flow_stages(assessed: Column, mine: Column, ratings: Column) -> dict[str, Co
         "view": status.isin("contacted", "viewing_booked"),
         "rate": (status == "viewed") & ((ratings == 0) | (F.coalesce(assessed, F.lit("not_yet")) != "done")),
     }
+
+
+def report_sections(rows: DataFrame, far_km: float = 4) -> DataFrame:
+    """section, key, n: what a run's report tells: rows by source, area and scope, flagged ones, and those far from a beach."""
+    far = F.coalesce(F.col("beach_km") > far_km, F.lit(False))
+    keys = [("source", F.col("source")), ("area", F.col("area")), ("scope", F.col("scope")), ("flagged", F.when(F.col("flagged") == 1, F.col("area"))), ("far", F.when(far, F.col("area")))]
+    each = F.array(*[F.struct(F.lit(name).alias("section"), key.alias("key")) for name, key in keys])
+    return rows.select(F.explode(each).alias("s")).filter("s.key is not null").groupBy("s.section", "s.key").agg(F.count("*").alias("n"))
+
+
+def dry_report(rows: DataFrame) -> DataFrame:
+    """slug, area, n of a run that writes nothing."""
+    return rows.groupBy("slug", "area").agg(F.count("*").alias("n"))
+
+
+def tracked(wanted: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The wanted keys that a live row has."""
+    return wanted.join(rows.filter(~F.coalesce(F.col("availability").isin("gone", "unlisted"), F.lit(False))), key, "left_semi")
+
+
+def duplicate_cards(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, score and a short card of each side: title, area, price, source."""
+    side = lambda s: rows.select(F.col("id").alias(s), F.struct("title", "area", F.col("price_month_idr").alias("price"), "source").alias(f"card_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "score", "card_a", "card_b")
+
+
+def sources_with_stats(sources: DataFrame, stats: DataFrame) -> DataFrame:
+    """Sources that aren't archived, with their counts (zero without any)."""
+    names = [c for c in stats.columns if c != "source"]
+    return sources.filter("not archived").join(stats, "source", "left").fillna(0, names)

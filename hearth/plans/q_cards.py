@@ -104,3 +104,32 @@ def flow_stage_counts(spark, sf_dir):
 def imports_by_key(spark, sf_dir):
     key = F.get_json_object("props", "$.k").alias("k")
     return table(spark, sf_dir, "events").groupBy(key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+
+
+@query(f"{WITH_LISTINGS}, S AS (SELECT 'source' AS section, source AS key FROM L UNION ALL SELECT 'area', area FROM L UNION ALL SELECT 'scope', scope FROM L UNION ALL SELECT 'flagged', area FROM L WHERE flagged = 1 UNION ALL SELECT 'far', area FROM L WHERE beach_km > 4) SELECT section, key, count(*) AS n FROM S GROUP BY 1, 2")
+def report_sections(spark, sf_dir):
+    return C.report_sections(listings(spark, sf_dir))
+
+
+@query(f"{WITH_LISTINGS} SELECT style AS slug, area, count(*) AS n FROM L GROUP BY 1, 2")
+def dry_report(spark, sf_dir):
+    return C.dry_report(listings(spark, sf_dir).withColumnRenamed("style", "slug"))
+
+
+@query(f"{WITH_LISTINGS} SELECT DISTINCT part AS part FROM L WHERE availability NOT IN ('gone', 'unlisted')")
+def tracked_parts(spark, sf_dir):
+    return C.tracked(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part")), listings(spark, sf_dir), "part")
+
+
+@query(f"{WITH_LISTINGS} SELECT m.merged_into AS a, m.id AS b, k.title AS title_a, m.title AS title_b, m.price_month_idr AS price_b FROM L m JOIN L k ON k.id = m.merged_into")
+def duplicate_cards(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    pairs = rows.filter("merged_into is not null").select(F.col("merged_into").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
+    return C.duplicate_cards(pairs, rows).select("a", "b", F.col("card_a.title").alias("title_a"), F.col("card_b.title").alias("title_b"), F.col("card_b.price").alias("price_b"))
+
+
+@query("SELECT s_suppkey AS source, count(l_partkey) FILTER (WHERE l_quantity > 45) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 4 <> 1 GROUP BY s_suppkey")
+def sources_with_stats(spark, sf_dir):
+    stats = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").groupBy(F.col("l_suppkey").alias("source")).agg(F.count("*").alias("n"))
+    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") % 4 == 1).alias("archived"))
+    return C.sources_with_stats(sources, stats).select("source", "n")

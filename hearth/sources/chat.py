@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +20,29 @@ HEADER = rf"^(?:\[{_DATE},?\s+{_TIME}\]|{_DATE},?\s+{_TIME}\s+[-–])\s+(.*)$"
 SCHEMA = "file string, ordinal bigint, ts timestamp_ntz, sender string, text string, attachments array<string>, omitted boolean, edited boolean, deleted boolean, system boolean"
 
 
+def chat_in(name: str, data: bytes, depth: int = 2) -> str | None:
+    """The chat's text in an export: the file itself, or the likeliest text in an archive or in one inside it."""
+    if not zipfile.is_zipfile(io.BytesIO(data)):
+        return data.decode("utf-8", "replace") if name.lower().endswith(".txt") else None
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        members = [m for m in archive.infolist() if not m.is_dir() and not m.filename.startswith("__MACOSX")]
+        texts = [m for m in members if m.filename.lower().endswith(".txt")]
+        if texts:  # a chat's usual names first, then the largest
+            best = max(texts, key=lambda m: (re.search(r"(?i)(?:^|/)(?:_chat|whatsapp chat[^/]*)\.txt$", m.filename) is not None, m.file_size))
+            return archive.read(best).decode("utf-8", "replace")
+        inner = [chat_in(m.filename, archive.read(m), depth - 1) for m in members if depth and m.filename.lower().endswith(".zip")]
+        return next((x for x in inner if x is not None), None)
+
+
 def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """file, content: one row for each text file of a folder or a pattern."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
+    """file, content: one row for each export of a folder or a pattern, archives opened in the tasks; files without a chat are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame({"file": rows["path"], "content": [chat_in(p, bytes(c)) for p, c in zip(rows["path"], rows["content"])]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "file string, content string").filter("content is not null")
 
 
 def messages(files: DataFrame, offset_minutes: int = 480) -> DataFrame:

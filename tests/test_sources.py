@@ -48,3 +48,31 @@ def test_chat_headers(spark):
     assert got["a", 3]["system"] and not got["a", 1]["system"]
     assert (got["i", 1]["ts"], got["i", 1]["attachments"]) == (datetime(2024, 2, 13, 0, 0, 5), ["a.jpg"])
     assert got["i", 2]["deleted"] and got["i", 3]["edited"] and got["i", 3]["text"] == "hi" and got["i", 4]["omitted"]
+
+
+def test_exports_in_archives(spark, tmp_path):
+    """A plain text, an archive with a small and a named text, one inside another, and one without a chat."""
+    import io
+    import zipfile
+
+    def packed(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.zip").write_bytes(packed({"notes.txt": "longer than the chat", "x/_chat.txt": "two", "p.jpg": b"x"}))
+    (tmp_path / "c.zip").write_bytes(packed({"in.zip": packed({"WhatsApp Chat with Ann.txt": "three"})}))
+    (tmp_path / "d.zip").write_bytes(packed({"p.jpg": b"x"}))
+    got = {r["file"].rsplit("/", 1)[1]: r["content"] for r in chat.read_exports(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.txt": "one", "b.zip": "two", "c.zip": "three"}
+
+
+def test_batches_of_records(spark, tmp_path):
+    from hearth.operators.lifecycle import read_batch
+
+    (tmp_path / "batch.json").write_text("\n".join(['{"key": "a", "price": 1}', "no json", '{"price": 2}', '{"key": "b", "price": 3}']))
+    rows = read_batch(spark, f"file://{tmp_path}/batch.json", "key string, price long, _bad string", 3).collect()
+    assert [(r["key"], r["refused"]) for r in rows] == [("a", None), (None, "not json"), (None, "no key"), ("b", "over the limit")]
