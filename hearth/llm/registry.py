@@ -1,6 +1,7 @@
 """The subpackage's queries and their SQL."""
 
 from hearth.llm.q_chat import OP8_SQL, op8_chat_format
+from hearth.llm.q_colloc import OP11_SQL, op11_collocations
 from hearth.llm.q_decontam import OP5_SQL, op5_decontaminate
 from hearth.llm.q_fagin import OP13_SQL, op13_hard_negatives
 from hearth.llm.q_shard import op3_shard
@@ -24,7 +25,8 @@ QUERIES = {
     "op3_shard": op3_shard,
     "op5_decontaminate": op5_decontaminate,
     "op8_chat_format": op8_chat_format,
+    "op11_collocations": op11_collocations,
     "op12_fingerprints": op12_fingerprints,
     "op13_hard_negatives": op13_hard_negatives,
 }
-SQL = {"op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_repeats": OP9_SQL, "op13_hard_negatives": OP13_SQL}
+SQL = {"op5_decontaminate": OP5_SQL, "op8_chat_format": OP8_SQL, "op9_repeats": OP9_SQL, "op11_collocations": OP11_SQL, "op13_hard_negatives": OP13_SQL}
