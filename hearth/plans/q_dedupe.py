@@ -85,25 +85,25 @@ P AS (SELECT a.id AS a, b.id AS b, a.source AS source_a, b.source AS source_b, a
 C AS MATERIALIZED (SELECT a, b, source_a, source_b, first_seen_a, first_seen_b, least(1000, s + CASE WHEN dice >= 0.8 THEN 200 WHEN dice >= 0.6 THEN 100 ELSE 0 END) / CAST(1000 AS DOUBLE) AS score FROM (SELECT * FROM P WHERE s >= 300) LEFT JOIN T USING (ta, tb))"""
 
 
-def _candidates(spark, sf_dir):
-    """Pairs of 0.5 and more without promotion pictures; higher scores are filters on them."""
+def _candidates(spark, sf_dir, least):
+    """Pairs without promotion pictures."""
     rows = signal_rows(spark, sf_dir)
-    return D2.candidates(rows.withColumn("photos", F.filter("photos", lambda p: ~p.startswith("logo"))))
+    return D2.candidates(rows.withColumn("photos", F.filter("photos", lambda p: ~p.startswith("logo"))), least)
 
 
 @query(f"{CANDIDATES} SELECT a, b, score FROM C WHERE score >= 0.6")
 def dup_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir).filter("score >= 0.6").select("a", "b", "score")
+    return _candidates(spark, sf_dir, 0.6).select("a", "b", "score")
 
 
 @query(f"{CANDIDATES}, E AS (SELECT a AS id, b AS other, score FROM C WHERE score >= 0.5 UNION ALL SELECT b, a, score FROM C WHERE score >= 0.5), O AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place FROM E) SELECT id, other, score, place FROM O WHERE place <= 10")
 def dup_candidates_by_listing(spark, sf_dir):
-    return D2.candidates_of(_candidates(spark, sf_dir), signal_rows(spark, sf_dir).select("id")).select("id", "other", "score", F.col("place").cast("long").alias("place"))
+    return D2.candidates_of(_candidates(spark, sf_dir, 0.5), signal_rows(spark, sf_dir).select("id")).select("id", "other", "score", F.col("place").cast("long").alias("place"))
 
 
 @query(f"{CANDIDATES} SELECT a, b, CASE WHEN (source_a = 's0', first_seen_a, a) <= (source_b = 's0', first_seen_b, b) THEN a ELSE b END AS keep FROM C WHERE score >= 0.8")
 def dup_keepers(spark, sf_dir):
-    return D2.keeper_first(_candidates(spark, sf_dir).filter("score >= 0.8"), ["s0"]).select("a", "b", "keep")
+    return D2.keeper_first(_candidates(spark, sf_dir, 0.8), ["s0"]).select("a", "b", "keep")
 
 
 #: Likely pairs that the gaps take, best first.
@@ -116,7 +116,7 @@ GAPS = f"""{CANDIDATES}, O AS (SELECT a, b, 'merged' AS kind FROM (SELECT merged
 
 
 def _gaps(spark, sf_dir):
-    likely = _candidates(spark, sf_dir).filter("score >= 0.6").orderBy(F.desc("score"), "a", "b").limit(MOST_LIKELY)
+    likely = _candidates(spark, sf_dir, 0.6).orderBy(F.desc("score"), "a", "b").limit(MOST_LIKELY)
     return D2.cross_source_gaps(listings(spark, sf_dir), likely)
 
 
@@ -160,7 +160,7 @@ def dup_settled(spark, sf_dir):
 _MERGES = "SELECT merged_into AS keep, id AS gone FROM L WHERE merged_into IS NOT NULL"
 
 
-@query(f"""{WITH_LISTINGS}, M AS ({_MERGES}), K AS (SELECT M.keep, arg_min(L.land_m2, L.id) FILTER (WHERE L.land_m2 IS NOT NULL) AS land_m2, arg_min(L.price_month_idr, L.id) FILTER (WHERE L.price_month_idr IS NOT NULL) AS price, list_sort(list('u/' || L.id)) AS urls FROM M JOIN L ON L.id = M.gone GROUP BY M.keep)
+@query(f"""{WITH_LISTINGS.replace("L AS (SELECT * REPLACE (", "L AS (SELECT * REPLACE (" + SIGNALS["land_m2"] + " AS land_m2, ")}, M AS ({_MERGES}), K AS (SELECT M.keep, arg_min(L.land_m2, L.id) FILTER (WHERE L.land_m2 IS NOT NULL) AS land_m2, arg_min(L.price_month_idr, L.id) FILTER (WHERE L.price_month_idr IS NOT NULL) AS price, list_sort(list('u/' || L.id)) AS urls FROM M JOIN L ON L.id = M.gone GROUP BY M.keep)
  SELECT L.id, CASE WHEN M.gone IS NULL THEN coalesce(L.land_m2, K.land_m2) ELSE L.land_m2 END AS land_m2, CASE WHEN M.gone IS NULL THEN coalesce(L.price_month_idr, K.price) ELSE L.price_month_idr END AS price_month_idr, CASE WHEN M.gone IS NOT NULL THEN '' ELSE coalesce(array_to_string(K.urls, ' '), '') END AS alt_urls,
  CASE WHEN M.gone IS NOT NULL THEN 'gone' ELSE L.availability END AS availability, CASE WHEN M.gone IS NOT NULL THEN 'merged' ELSE L.removed_reason END AS removed_reason, coalesce(M.keep, L.merged_into) AS merged_into FROM L LEFT JOIN M ON M.gone = L.id LEFT JOIN K ON K.keep = L.id""")
 def merges_applied(spark, sf_dir):

@@ -23,7 +23,7 @@ SELECT concat_ws('-', CAST(l.l_orderkey AS STRING), CAST(l.l_linenumber AS STRIN
   CASE WHEN l.l_linenumber % 4 = 3 THEN 1 ELSE 0 END AS for_sale,
   nullif(p.p_size * 10, 10) AS build_m2, nullif((p.p_size * 37) % 700, 0) AS land_m2,
   CASE WHEN p.p_size % 5 = 0 THEN NULL ELSE l.l_quantity / 8.0 END AS beach_km,
-  -8.2 - (l.l_suppkey % 97) / 100.0 AS lat, 115.0 + (l.l_partkey % 89) / 100.0 AS lng,
+  CAST(-820 - l.l_suppkey % 97 AS DOUBLE) / 100 AS lat, CAST(11500 + l.l_partkey % 89 AS DOUBLE) / 100 AS lng,
   CASE p.p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS pool,
   CASE CAST(l.l_partkey % 4 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 0 END AS garden,
   CASE CAST(l.l_suppkey % 3 AS INT) WHEN 0 THEN 1 WHEN 1 THEN 0 END AS furnished,

@@ -13,13 +13,23 @@ def test_candidates_equal_all_pairs(spark, sf):
     """Every pair of equal bedrooms is compared by the SQL: the combinations of signals lose none, at 0.5 and at 0.6."""
     sql = Q.CANDIDATES.replace(Q.SOME_PAIRS, Q.ALL_PAIRS)
     assert sql != Q.CANDIDATES
-    found = Q._candidates(spark, sf).select("a", "b", "score")
-    assert_same(found, sf, f"{sql} SELECT a, b, score FROM C WHERE score >= 0.5")
+    for least in (0.5, 0.6, 0.8):
+        assert_same(Q._candidates(spark, sf, least).select("a", "b", "score"), sf, f"{sql} SELECT a, b, score FROM C WHERE score >= {least}")
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.7, 0.8, 0.95])
+@pytest.mark.parametrize("priced", [True, False])
+def test_branches_cover_every_sum(least, priced):
+    chosen = D.branches(least, priced)
+    for state, total in D.sums(priced):
+        if total >= 1000 * least:
+            assert any(all(state[f] for f in b.fields) and (not priced or state["price"] <= b.price) and state["title"] >= b.title for b in chosen), state
+    assert len(chosen) < len(D.PRICED)
 
 
 def test_lower_scores_are_refused(spark, sf):
     with pytest.raises(ValueError):
-        D.candidates(Q.signal_rows(spark, sf), 0.4)
+        D.candidates(Q.signal_rows(spark, sf), 0.1)
 
 
 def test_merges_equal_a_pass_one_by_one(spark, sf):
