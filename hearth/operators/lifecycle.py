@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearth.config import ACTIVE_STATUSES
+from hearth.session import settle
 
 GONE_STATUS = (404, 410)
 GALLERY = 8
@@ -127,11 +128,35 @@ def first_rows(raw: DataFrame, key: str, place: str, dirty: Column) -> DataFrame
     return raw.filter(~F.coalesce(dirty, F.lit(False)) & F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), place).alias("r")).select(key, "r.*")
 
 
+def numbered_lines(lines: DataFrame, column: str = "place") -> DataFrame:
+    """Adds a number from 1 to rows in the order in which they are read.
+
+    Partitions are counted, and their counts added up, so each row knows how many come before its partition: only a row
+    for each partition comes together. lines has to be a plain reading, whose rows and partitions stay the same.
+    """
+    at = F.monotonically_increasing_id()
+    read = lines.withColumn("__at", at).withColumn("__part", F.shiftright("__at", 33))
+    sizes = read.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    starts = sizes.select("__part", before.alias("__before"))
+    return read.join(starts, "__part").withColumn(column, F.col("__before") + F.col("__at") - F.shiftleft("__part", 33) + 1).drop("__at", "__part", "__before")
+
+
 def read_batch(spark, path: str, schema: str, most: int):
-    """A batch of JSON records and the reason for each one that is refused: no JSON, over the batch's size, no key."""
-    rows = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.monotonically_increasing_id().alias("at"))
-    place = F.row_number().over(Window.orderBy("at"))  # a batch: at most a few hundred records
-    return rows.withColumn("place", place).select("r.*", F.when(F.col("r._bad").isNotNull(), "not json").when(F.col("place") > most, "over the limit").when(F.col("r.key").isNull(), "no key").alias("refused"))
+    """A batch of JSON records, one a line, and the reason for each one that is refused: no JSON, over the batch's size, no key."""
+    rows = numbered_lines(spark.read.text(path)).select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), "place")
+    return rows.select("r.*", "place", F.when(F.col("r._bad").isNotNull(), "not json").when(F.col("place") > most, "over the limit").when(F.col("r.key").isNull(), "no key").alias("refused"))
+
+
+def read_document(spark, path: str, record: str, field: str = "raw"):
+    """Records of files that are one JSON document each, with an array of records in `field`: file, place, the record's columns.
+
+    A file that isn't JSON gives one row with its text in `broken` and no record.
+    """
+    schema = f"{field} array<struct<{record}>>, broken string"
+    files = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "broken").json(path).select(F.col("_metadata.file_path").alias("file"), field, "broken")
+    rows = files.select("file", "broken", F.posexplode_outer(field).alias("place", "r"))
+    return rows.select("file", (F.col("place") + 1).alias("place"), "broken", "r.*").filter("broken is not null or place is not null")
 
 
 def listing_rows(batch: DataFrame, areas: list[str], rent: Column) -> DataFrame:
@@ -149,11 +174,40 @@ def harvest_posts(records: DataFrame, said: Column) -> DataFrame:
 
 
 def batches(rows: DataFrame, group: str, order: str, size: str, most_bytes: int, most_rows: int) -> DataFrame:
-    """Adds batch: a new one begins where the bytes or the rows before fill one up."""
-    window = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    by_bytes = F.floor((F.sum(size).over(window) - F.col(size)) / most_bytes)
-    by_rows = F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / most_rows)
-    return rows.withColumn("batch", F.struct(by_bytes.alias("bytes"), by_rows.alias("rows")))
+    """Adds batch, from 0 in each group: rows fill a batch in order, and the one that would not fit opens the next.
+
+    Where a batch begins depends on where the one before it began, which running sums cannot say; but from each row on it
+    is fixed where the next batch begins. So each row's next beginning is found by running sums, and the beginnings are
+    those that can be reached from a group's first row: row numbers are hopped over in doubling steps, in as many joins as
+    the logarithm of the most batches in a group. A row that is larger than a batch is one alone. Sizes that are null
+    count as 0; rows of equal order are taken in the order of their sizes.
+    """
+    window = Window.partitionBy(group).orderBy(order, size)
+    upto = F.sum(F.coalesce(size, F.lit(0))).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = settle(rows.withColumns({"__n": F.row_number().over(window), "__upto": upto}), "numbered")
+    # the first row whose running sum passes what this row may hold: one ordered pass over both kinds of marks
+    before = F.col("__upto") - F.coalesce(size, F.lit(0))
+    mark = lambda at, kind, n: F.struct(at.alias("at"), F.lit(kind).alias("kind"), n.alias("n"))
+    marks = numbered.select(group, F.explode(F.array(mark(F.col("__upto"), 1, F.col("__n")), mark(before + most_bytes, 0, F.col("__n")))).alias("m")).select(group, "m.*")
+    # behind a limit (kind 0) the next sum that is larger (kind 1) is the first row that doesn't fit
+    beyond = F.min(F.when(F.col("kind") == 1, F.col("n"))).over(Window.partitionBy(group).orderBy(F.col("at").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0))
+    fits = marks.withColumn("beyond", beyond).filter("kind = 0")
+    last = numbered.groupBy(group).agg((F.max("__n") + 1).alias("end"))
+    hop = F.greatest(F.col("n") + 1, F.least(F.coalesce("beyond", "end"), F.col("n") + most_rows, F.col("end")))
+    hops = settle(fits.join(last, group).select(group, "n", hop.alias("to"), "end"), "hops")
+    begins, count = settle(numbered.filter("__n = 1").select(group, F.lit(1).alias("n"), F.lit(0).cast("long").alias("batch")), "begins"), 1
+    while True:
+        # beginnings of batches 0 to count - 1 are known; a hop over count batches gives those after them
+        more = begins.join(hops, [group, "n"]).filter("to < end").select(group, F.col("to").alias("n"), (F.col("batch") + count).alias("batch"))
+        more = settle(more, "begins")
+        if more.isEmpty():
+            break
+        begins = settle(begins.unionByName(more), "begins")
+        two = hops.withColumnsRenamed({"n": "from", "to": "n"}).join(hops.select(group, "n", F.col("to").alias("to2")), [group, "n"], "left")
+        hops, count = settle(two.select(group, F.col("from").alias("n"), F.coalesce("to2", "end").alias("to"), "end"), "hops"), 2 * count
+    first = begins.withColumnsRenamed({"n": "__n", "batch": "__first"})
+    batch = F.last("__first", ignorenulls=True).over(Window.partitionBy(group).orderBy("__n").rowsBetween(Window.unboundedPreceding, 0))
+    return numbered.join(first, [group, "__n"], "left").withColumn("batch", batch).drop("__n", "__upto", "__first")
 
 
 def picture_work(rows: DataFrame) -> DataFrame:

@@ -136,11 +136,15 @@ def harvested_posts(spark, sf_dir):
     return out.select("id", "posted_at", F.size("images").cast("long").alias("n_images"))
 
 
-@query("WITH S AS (SELECT user_id, event_id, length(props) AS size, sum(length(props)) OVER w - length(props) AS before, row_number() OVER w AS place FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT user_id, event_id, CAST(before // 60 AS BIGINT) AS by_bytes, CAST((place - 1) // 7 AS BIGINT) AS by_rows FROM S")
+#: A fold over a user's rows: bytes and rows of the open batch; it begins anew where the next row doesn't fit.
+@query("""WITH RECURSIVE S AS (SELECT user_id, event_id, length(props) AS size, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+ F AS (SELECT user_id, event_id, n, size AS bytes, 1 AS rows, 0 AS batch FROM S WHERE n = 1 UNION ALL
+  SELECT S.user_id, S.event_id, S.n, CASE WHEN F.bytes + S.size > 60 OR F.rows = 7 THEN S.size ELSE F.bytes + S.size END, CASE WHEN F.bytes + S.size > 60 OR F.rows = 7 THEN 1 ELSE F.rows + 1 END, CASE WHEN F.bytes + S.size > 60 OR F.rows = 7 THEN F.batch + 1 ELSE F.batch END
+  FROM F JOIN S ON S.user_id = F.user_id AND S.n = F.n + 1)
+ SELECT user_id, event_id, CAST(batch AS BIGINT) AS batch FROM F""")
 def import_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.length("props").alias("size"))
-    out = Y.batches(rows, "user_id", "event_id", "size", 60, 7)
-    return out.select("user_id", "event_id", F.col("batch.bytes").alias("by_bytes"), F.col("batch.rows").alias("by_rows"))
+    return Y.batches(rows, "user_id", "event_id", "size", 60, 7).select("user_id", "event_id", "batch")
 
 
 _PICTURES = "array(named_struct('file', CASE WHEN linenumber % 2 = 0 THEN 'f' END, 'hash', CASE WHEN linenumber % 4 = 0 THEN 'h' END, 'dead', linenumber = 3), named_struct('file', CAST(NULL AS STRING), 'hash', CAST(NULL AS STRING), 'dead', false))"
