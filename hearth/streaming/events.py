@@ -33,6 +33,23 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
 
 
+def run_in_slices(rows: DataFrame, slices: list, make, mode: str = "append") -> DataFrame:
+    """The rows arrive slice by slice (conditions, in order), each followed by a run over what is new; make: from the
+    stream of rows to the result. State, watermark and output go on from run to run."""
+    spark, out = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/hearth-slices-{uuid.uuid4().hex}"
+    schema = None
+    for condition in slices:
+        rows.filter(condition).write.mode("append").parquet(f"{out}/in")
+        stream = make(spark.readStream.schema(rows.schema).parquet(f"{out}/in"))
+        schema = stream.schema
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{out}/rows").select(*schema.names)
+
+
 def windowed_counts(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     rows = stream.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type")
     return rows.agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
