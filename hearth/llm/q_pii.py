@@ -1,5 +1,6 @@
 """Query of the pseudonyms."""
 
+import secrets
 import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,15 @@ def key_of(spark: SparkSession) -> str:
     return own or KEY
 
 
+def secret_of(spark: SparkSession) -> str:
+    """The secret in the session's setting; without one a secret made for this run alone, with a warning: equal values have
+    equal pseudonyms within the run, and nobody can invert them or link them with another run's."""
+    own = spark.conf.get(KEY_SETTING, None)
+    if not own:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms of this run can't be linked with those of others", stacklevel=2)
+    return own or secrets.token_hex(32)
+
+
 def _count(kind: str) -> Column:
     return F.size(F.filter("pii", lambda x: x["kind"] == kind)).cast("long")
 

@@ -2,7 +2,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from hearth.llm import quality as Q
-from hearth.llm.q_pii import KEY, KEY_SETTING, key_of
+from hearth.llm.q_pii import KEY, KEY_SETTING, key_of, secret_of
 from hearth.llm import simhash as S
 from hearth.session import settle, table
 from helpers import CLASHES, ODD, docs, prose
@@ -71,3 +71,12 @@ def test_key_is_a_setting(spark):
         assert key_of(spark) == "own"
     finally:
         spark.conf.unset(KEY_SETTING)
+
+
+def test_secret_of_a_run(spark):
+    assert secret_of(spark) != secret_of(spark) and KEY not in secret_of(spark)
+    spark.conf.set(KEY_SETTING, "own")
+    try:
+        assert secret_of(spark) == "own"
+    finally:
+        spark.conf.unset(KEY_SETTING)
