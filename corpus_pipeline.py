@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hearth.llm.bpe import encode
 from hearth.llm.decontam import decontaminate
 from hearth.llm.pii import pseudonymise
-from hearth.llm.q_pii import key_of
+from hearth.llm.q_pii import secret_of
 from hearth.llm.quality import keep_good
 from hearth.llm.simhash import deduplicate
 from hearth.session import settle, table
@@ -49,9 +49,9 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, addresses and dates become pseudonyms; n_chars, where there is one, follows the text.
 
     Every row stays. Null texts stay null, empty ones empty; equal values get equal pseudonyms in all documents. The key
-    is the setting spark.hearth.pii.key.
+    is the setting spark.hearth.pii.key, or else a secret of this run alone.
     """
-    out = pseudonymise(docs, key_of(spark), "__hearth_pii").drop("__hearth_pii")
+    out = pseudonymise(docs, secret_of(spark), "__hearth_pii").drop("__hearth_pii")
     return out.select(*[F.char_length("text").cast(docs.schema["n_chars"].dataType).alias(n) if n == "n_chars" else n for n in out.columns])
 
 
