@@ -45,6 +45,7 @@ def stream_repeated_import(spark, sf_dir):
   UNION ALL SELECT id, 'unlisted', ts + INTERVAL 3 DAY FROM G WHERE coalesce(after > ts + INTERVAL 3 DAY, ts + INTERVAL 3 DAY < (SELECT max(ts) - INTERVAL 1 DAY FROM S))"""
 )
 def stream_presence(spark, sf_dir):
-    P.use_rocksdb(spark)
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
-    return X.run_in_slices(rows, _quarters(rows)[0], P.presence).withColumn("at", F.col("at").cast("timestamp_ntz"))
+    with P.rocksdb(spark):
+        told = X.run_in_slices(rows, _quarters(rows)[0], P.presence)
+    return told.withColumn("at", F.col("at").cast("timestamp_ntz"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
@@ -71,6 +72,13 @@ def presence(sightings: DataFrame, days: float = 3, late: str = "1 day") -> Data
     return rows.groupBy("id").transformWithStateInPandas(_Presence(days), STATES, "append", "eventtime")
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """States with timers need the state store on disk."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """States with timers need the state store on disk; what the session had before comes back."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
