@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.semantics import half_up
-from hearth.operators.search import removed_at, removed_reason
+from hearth.operators.joins import anchor_distances
+from hearth.operators.search import removed_at, removed_reason, value_fields
 
 # The folder of stored pictures, wordings, and after how many hours a page is stale.
 FOLDER, PAR, STALE_HOURS, LONG_ERRORS = "/images/", 3, 12, 2000
@@ -173,3 +174,15 @@ def sources_with_stats(sources: DataFrame, stats: DataFrame) -> DataFrame:
     """Sources that aren't archived, with their counts (zero without any)."""
     names = [c for c in stats.columns if c != "source"]
     return sources.filter("not archived").join(stats, "source", "left").fillna(0, names)
+
+
+def with_shared(rows: DataFrame, market: DataFrame, verdicts: DataFrame, team: DataFrame, people: DataFrame, anchors: list[tuple[str, float, float]]) -> DataFrame:
+    """Rows of a page with what the people of a team see on them: their verdicts, who set the status, value, anchors.
+
+    market: all rows, whose medians the value is held against. verdicts: item, voter, verdict; people: id, name.
+    """
+    voted = verdict_lists(verdicts.join(rows.select(F.col("id").alias("item")), "item", "left_semi"), team).withColumnRenamed("item", "id")
+    out = rows.join(voted, "id", "left").join(value_fields(market), "id", "left")
+    out = out.join(people.select(F.col("id").alias("status_by"), F.col("name").alias("status_by_name")), "status_by", "left")
+    none = F.array().cast(voted.schema["verdicts"].dataType)
+    return anchor_distances(out.withColumn("verdicts", F.coalesce("verdicts", none)), anchors)
