@@ -8,9 +8,10 @@ from hearth.operators import duplicates as D2
 from hearth.operators import sequences as Q
 from hearth.operators import similarity as D
 from hearth.operators import upsert as U
+from hearth.operators.pairs import PairLists, version_of
 from hearth.plans.registry import query
 from hearth.session import table
-from hearth.sources.listings import WITH_LISTINGS, WITH_POINTS, listings, price_points
+from hearth.sources.listings import TABLES, WITH_LISTINGS, WITH_POINTS, listings, price_points
 from hearth.streaming import events as X
 
 #: Each vector's signs, and a copy with its first bits turned over.
@@ -85,12 +86,18 @@ P AS (SELECT a.id AS a, b.id AS b, a.source AS source_a, b.source AS source_b, a
 C AS MATERIALIZED (SELECT a, b, source_a, source_b, first_seen_a, first_seen_b, least(1000, s + CASE WHEN dice >= 0.8 THEN 200 WHEN dice >= 0.6 THEN 100 ELSE 0 END) / CAST(1000 AS DOUBLE) AS score FROM (SELECT * FROM P WHERE s >= 300) LEFT JOIN T USING (ta, tb))"""
 
 
-def _candidates(spark, sf_dir, least):
-    """Pairs without promotion pictures."""
+def found_candidates(spark, sf_dir, least):
+    """Pairs without promotion pictures, by a search of their own."""
     rows = signal_rows(spark, sf_dir)
     return D2.candidates(rows.withColumn("photos", F.filter("photos", lambda p: ~p.startswith("logo"))), least)
 
 
+def _candidates(spark, sf_dir, least):
+    """The same, found once for the tables as they are and a least score, then read."""
+    version = version_of(spark, *[f"{sf_dir}/{t}.parquet" for t in TABLES])
+    return PairLists(spark).at(version, "candidates", least, lambda score: found_candidates(spark, sf_dir, score))
+
+
 @query(f"{CANDIDATES} SELECT a, b, score FROM C WHERE score >= 0.6")
 def dup_candidates(spark, sf_dir):
     return _candidates(spark, sf_dir, 0.6).select("a", "b", "score")

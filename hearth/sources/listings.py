@@ -51,13 +51,13 @@ FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {part} p O
 JOIN (SELECT l_partkey AS k_partkey, min(concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS STRING), CAST(CAST(l_quantity AS INT) AS STRING))) AS first_id FROM {lineitem} GROUP BY l_partkey) k ON k.k_partkey = l.l_partkey
 JOIN {supplier} s ON s.s_suppkey = l.l_suppkey JOIN {nation} n ON n.n_nationkey = s.s_nationkey JOIN {region} r ON r.r_regionkey = n.n_regionkey
 """
-_TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region")
+TABLES = ("lineitem", "orders", "part", "supplier", "nation", "region")
 #: WITH clause for the oracle: listings as L.
-WITH_LISTINGS = f"WITH L0 AS ({LISTINGS_SQL.format(**{t: t for t in _TABLES})}), L AS (SELECT * REPLACE (nullif(merged_into, id) AS merged_into) FROM L0)"
+WITH_LISTINGS = f"WITH L0 AS ({LISTINGS_SQL.format(**{t: t for t in TABLES})}), L AS (SELECT * REPLACE (nullif(merged_into, id) AS merged_into) FROM L0)"
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.sql(LISTINGS_SQL, **{t: table(spark, sf_dir, t) for t in _TABLES})
+    df = spark.sql(LISTINGS_SQL, **{t: table(spark, sf_dir, t) for t in TABLES})
     return df.withColumn("merged_into", F.expr("nullif(merged_into, id)"))
 
 

@@ -14,7 +14,7 @@ def test_candidates_equal_all_pairs(spark, sf):
     sql = Q.CANDIDATES.replace(Q.SOME_PAIRS, Q.ALL_PAIRS)
     assert sql != Q.CANDIDATES
     for least in (0.5, 0.6, 0.8):
-        assert_same(Q._candidates(spark, sf, least).select("a", "b", "score"), sf, f"{sql} SELECT a, b, score FROM C WHERE score >= {least}")
+        assert_same(Q.found_candidates(spark, sf, least).select("a", "b", "score"), sf, f"{sql} SELECT a, b, score FROM C WHERE score >= {least}")
 
 
 @pytest.mark.parametrize("least", [0.5, 0.6, 0.7, 0.8, 0.95])
