@@ -168,13 +168,13 @@ def fit_scores(spark, sf_dir):
     return R.score_rows(listings(spark, sf_dir)).drop("reasons")
 
 
+@query(f"""{WITH_LISTINGS}, R AS (SELECT *, floor(price_month_idr / 1e6 * 10 + 0.5) / CAST(10 AS DOUBLE) AS m FROM L)
+SELECT id, concat_ws(', ', bedrooms || 'BR' || CASE WHEN extra_rooms > 0 THEN ' +' || extra_rooms ELSE '' END, CASE WHEN area <> 'other' THEN area END, CAST(beach_km AS DOUBLE) || ' km to beach', CASE WHEN m = floor(m) THEN CAST(CAST(m AS BIGINT) AS VARCHAR) ELSE CAST(m AS VARCHAR) END || ' M/mo',
+ CASE WHEN pool = 1 THEN 'pool' END, CASE WHEN garden = 1 THEN 'garden' END, CASE view_kind WHEN 'ocean' THEN 'ocean view' WHEN 'rice' THEN 'ricefield view' WHEN 'river' THEN 'river view' WHEN 'jungle' THEN 'jungle view' END, CASE WHEN joglo = 1 THEN 'joglo' END, CASE WHEN workspace = 1 THEN 'workspace' END) AS reasons FROM R""")
 def fit_reasons(spark, sf_dir):
     return R.score_rows(listings(spark, sf_dir)).select("id", "reasons")
 
 
-query()(fit_reasons)
-
-
 @query(f"{WITH_LISTINGS}, S AS (SELECT CAST(unnest(range(10)) AS INT) AS bucket), C AS (SELECT CAST(least(9, stored_fit // 10) AS INT) AS bucket FROM L) SELECT S.bucket, count(C.bucket) AS n FROM S LEFT JOIN C USING (bucket) GROUP BY S.bucket")
 def fit_histogram(spark, sf_dir):
     return A.histogram(listings(spark, sf_dir), A.fit_bucket(F.col("stored_fit")), 10)
