@@ -135,7 +135,7 @@ def merged_lists(spark, sf_dir):
 
 
 @query(
-    """WITH P AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM (SELECT * FROM embeddings WHERE vec_id < 4000000000) GROUP BY label)
+    """WITH P AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY label)
   SELECT a.label AS a, b.label AS b, CAST(len(list_intersect(list_transform(a.ids, lambda x: x % 97), list_transform(b.ids, lambda x: x % 97))) AS INT) AS n FROM P a JOIN P b ON b.label = a.label + 1"""
 )
 def shared_photos(spark, sf_dir):
