@@ -29,8 +29,13 @@ def html_text(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit(" \n")), F.lit(""))
 
 
+def title_source(html: Column) -> Column:
+    """The page's title as it is written, its entities undecoded; null if there is none."""
+    return _part(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+
+
 def page_title(html: Column) -> Column:
-    return F.trim(entities(_part(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return F.trim(entities(title_source(html)))
 
 
 def links(html: Column) -> Column:
