@@ -27,7 +27,7 @@ def matched_items(spark, sf_dir):
 
 @query("SELECT event_id // 2 AS run, bool_or(event_id % 3 = 0 AND (event_id % 7 = 0 OR ts <= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 12 HOURS)) AS stale FROM events GROUP BY 1")
 def stale_fetches(spark, sf_dir):
-    page = F.struct((F.col("event_id") % 3 == 0).alias("cached"), F.when(F.col("event_id") % 7 > 0, F.date_trunc("second", "ts")).alias("at"))
+    page = F.struct((F.col("event_id") % 3 == 0).alias("cached"), F.when(F.col("event_id") % 7 > 0, F.col("ts")).alias("at"))
     pages = table(spark, sf_dir, "events").groupBy(F.expr("event_id DIV 2").alias("run")).agg(F.collect_list(page).alias("pages"))
     return pages.select("run", C.served_stale(F.col("pages"), F.expr("TIMESTAMP_NTZ'2024-01-15 12:00:00'")).alias("stale"))
 

@@ -25,6 +25,13 @@ def events(spark, rows):
     return spark.createDataFrame([(i, ts, u, "view", 1.0, '{"k": 1}') for i, ts, u in rows], schema)
 
 
+def test_ages_count_fractions_of_a_second(spark, tmp_path):
+    """A copy that is a tenth of a second younger than twelve hours is not old."""
+    noon = datetime(2024, 1, 15)
+    got, want = over(spark, tmp_path, "stale_fetches", events=events(spark, [(3, noon + timedelta(seconds=0.1), 1), (9, noon, 1), (15, noon - timedelta(seconds=0.1), 1), (21, noon, 1)]))
+    assert got == want and sorted(got[1]) == [(1.0, False), (4.0, True), (7.0, True), (10.0, True)]
+
+
 def test_titles_as_they_are_written(spark, tmp_path):
     pages = [(1, "<title> A &amp; &quot;B&quot; &lt;c&gt;</title>"), (2, "<p>no title</p>"), (3, "<title></title>"), (4, None)]
     df = spark.createDataFrame(pages, "page_id bigint, html string").select("page_id", F.lit("http://www.a.example/x").alias("url"), "html")
