@@ -60,6 +60,14 @@ def first_of_each(stream: DataFrame, key: str, late: str = "2 days") -> DataFram
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+def smallest_of_each(stream: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of the smallest `order` of each key, whenever it arrives; for the mode update: each run tells the keys that
+    it saw, and the smallest that was told of a key is the result."""
+    rest = [c for c in stream.columns if c not in (key, order)]
+    least = F.min(F.struct(order, *rest)).alias("r")
+    return stream.groupBy(key).agg(least).select(key, "r.*")
+
+
 BURST = "chat long, sender string, n long, first_ts timestamp, last_ts timestamp"
 
 

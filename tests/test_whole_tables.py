@@ -37,3 +37,11 @@ def test_titles_as_they_are_written(spark, tmp_path):
     df = spark.createDataFrame(pages, "page_id bigint, html string").select("page_id", F.lit("http://www.a.example/x").alias("url"), "html")
     got, want = over(spark, tmp_path, "page_heads", pages=df)
     assert got == want
+
+
+def test_first_users_that_arrive_late(spark, tmp_path):
+    """The smallest id of a person stands in the middle of the file."""
+    at = datetime(2024, 1, 1)
+    rows = [(1000 + (i * 37) % 100, at + timedelta(minutes=i), i % 3) for i in range(100)]
+    got, want = over(spark, tmp_path, "stream_first_users", events=events(spark, rows))
+    assert got == want
