@@ -7,4 +7,4 @@ def test_line_items_are_read_once_where_no_merge_is_asked(spark, sf):
     """A part's first id, which takes a second pass over all line items, is found for those only who ask for it."""
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     rows = listings(spark, sf)
-    assert "first_id" not in plan(rows.select("id", "availability")) and "first_id" in plan(rows.select("id", "merged_into"))
+    assert "k_partkey" not in plan(rows.select("id", "availability")) and "k_partkey" in plan(rows.select("id", "merged_into"))
