@@ -31,7 +31,9 @@ def upsert_sources(stored: DataFrame, asked: DataFrame, adapters: list[str]) ->
     named = asked.withColumn("given", F.coalesce(F.nullif(slug(given), F.lit("")), given))
     named = named.withColumn("id", F.coalesce("given", F.nullif(slug(F.get_json_object("input", "$.name")), F.lit(""))))
     fields = [f.split()[0] for f in ENTRY.split(", ")]
-    requests = named.select("id", _request().alias("r")).groupBy("id").agg(F.array_sort(F.collect_list("r")).alias("requests"))
+    # requests without any id are of no channel, and none leaves anything to another: each one is by itself
+    alone = F.when(F.col("id").isNull(), F.col("place"))
+    requests = named.select("id", alone.alias("alone"), _request().alias("r")).groupBy("id", "alone").agg(F.array_sort(F.collect_list("r")).alias("requests")).drop("alone")
     both = stored.select("id", F.struct(*fields).cast(f"struct<{ENTRY.replace(' ', ':')}>".replace(",:", ",")).alias("entry")).join(requests, "id", "full")
 
     def step(state: Column, r: Column) -> Column:

@@ -1,6 +1,7 @@
 """Requests about channels one after the other, and the two shapes of last reads."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,13 @@ def test_no_choice_counts_nothing(spark):
     count = lambda **more: spark.range(1).select(I.active_filters(F.struct(*[c.alias(n) for n, c in (none | more).items()]))).first()[0]
     assert count() == 0 and count(removed=F.lit("hide"), furnished=F.lit("any"), q=F.lit(""), min=F.lit(1), max=F.lit(2), anchor=F.lit(1)) == 1
     assert count(term=F.array(F.lit("sale")), anchor=F.lit(1), anchor_km=F.lit(2), removed=F.lit("only")) == 3
+
+
+def test_requests_of_no_channel_do_not_wait_for_each_other(spark):
+    rows = spark.createDataFrame([], STORED)
+    asked = spark.range(20_000).select(F.col("id").alias("place"), F.lit('{"kind":"agent"}').alias("input"), F.lit("anna").alias("by"), F.lit(AT).cast("timestamp_ntz").alias("at"))
+    entries, told = I.upsert_sources(rows, asked, [])
+    started = time.monotonic()
+    assert told.groupBy("id", "action", "refusal").agg(F.count("*").alias("n"), F.count_distinct("place").alias("places")).collect() == [(None, None, "no name", 20_000, 20_000)]
+    assert time.monotonic() - started < 15  # in one group each one copied what was told to those before it
+    assert entries.count() == 0
