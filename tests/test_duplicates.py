@@ -54,3 +54,22 @@ def test_zero_prices_and_unknown_ones(spark, sf):
     rows = rows.withColumns({"availability": F.lit("available"), "contacts": F.array(F.lit("one"))}).cache()
     got = {(r["a"], r["b"]) for r in D.candidates(rows).collect()}
     assert got and all(a < b for a, b in got)
+
+
+def _sent(spark):
+    """Bytes written to shuffles up to now."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("find,most", [(lambda spark, sf: Q.found_candidates(spark, sf, 0.6), 3000), (Q.dup_automatic, 2000)])
+def test_titles_are_not_sent_by_row(spark, sf, find, most):
+    """Rows are sent once for each choice of signals, as a few numbers, and not for each of their titles' tokens (bytes a row)."""
+    live = Q.signal_rows(spark, sf).filter("availability <> 'gone'").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = _sent(spark)
+        find(spark, sf).write.format("noop").mode("overwrite").save()
+        assert (_sent(spark) - before) / live < most
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
