@@ -73,3 +73,15 @@ def test_titles_are_not_sent_by_row(spark, sf, find, most):
         assert (_sent(spark) - before) / live < most
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_gaps_look_for_the_best_pairs_only(spark, sf, monkeypatch):
+    asked = []
+
+    def candidates(spark, sf_dir, least):
+        asked.append(least)
+        return spark.range(300).selectExpr("concat('a', id) AS a", "concat('b', id) AS b", "'s1' AS source_a", "'s2' AS source_b", f"IF(id < {250 if least < 1 else 150}, {least}D, NULL) AS score").filter("score is not null")
+
+    monkeypatch.setattr(Q, "_candidates", candidates)
+    Q.cross_source_gaps(spark, sf).count()
+    assert asked == [1.0, 0.8]
