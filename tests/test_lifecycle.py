@@ -61,3 +61,13 @@ def test_documents_of_records(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"raw": []}')
     got = sorted((r["file"][-6:], r["place"] or 0, r["ref"], r["price"], r["broken"] is not None) for r in Y.read_document(spark, str(tmp_path), "ref string, price int").collect())
     assert got == [("a.json", 1, "RF1", 5, False), ("a.json", 2, "RF2", None, False), ("b.json", 0, None, None, True)]
+
+
+def test_batches_send_no_rows_through_the_driver(spark):
+    """Beginnings and hops grow with the rows, however small their files are: no join of them is a broadcast."""
+    from hearth.operators import lifecycle as Y
+
+    rows = spark.range(200).selectExpr("id % 5 AS g", "id AS o", "10 AS size")
+    out = Y.batches(rows, "g", "o", "size", 60, 7)
+    out.collect()
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
