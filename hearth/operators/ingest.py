@@ -51,10 +51,16 @@ class RunLog:
         return latest_of(self.spark.read.schema(RUN).parquet(self.path).withColumn("closed", F.col("finished_at").isNotNull()), ["id"], "closed", "finished_at").drop("closed")
 
 
-def observed(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
-    """The settled rows and what was counted while they were written; sums over no rows are 0."""
+def counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and what is counted when they are written; sums over no rows are 0."""
     seen = Observation(label)
-    done = settle(df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()]), label)
+    return df.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counts.items()]), seen
+
+
+def observed(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The settled rows and what was counted while they were written."""
+    told, seen = counted(df, label, **counts)
+    done = settle(told, label)
     return done, {n: int(v) for n, v in seen.get.items()}
 
 
@@ -76,6 +82,17 @@ def overlaid(cards: DataFrame, details: DataFrame, columns: list[str]) -> DataFr
     return cards.join(once, "id", "left").withColumns({c: F.coalesce(f"d_{c}", c) for c in columns}).drop(*[f"d_{c}" for c in columns])
 
 
+def once(cards: DataFrame) -> DataFrame:
+    """Each source's cards by id, the last in order. They are dealt by id alone, so that a join by id needn't deal them again."""
+    rest = [c for c in cards.columns if c not in ("id", "source")]
+    return cards.repartition("id").groupBy("id", "source").agg(F.max(F.struct(*rest)).alias("r")).select("id", "source", "r.*")
+
+
+def tally(name: str, sources: list[str], which: Column) -> dict[str, Column]:
+    """A count for each source, named name|source."""
+    return {f"{name}|{s}": F.count_if(which & (F.col("source") == s)) for s in sources}
+
+
 def run_sources(
     stored: DataFrame, readers: dict[str, Callable[[], DataFrame]], now: str, in_band: Column, details: DataFrame | None = None, detail_columns: tuple[str, ...] = (), stale_days: int = 3
 ) -> Outcome:
@@ -92,30 +109,30 @@ def run_sources(
         counts = outcome.per_source[source] = {**dict.fromkeys(COUNTS, 0), "error": None}
         try:
             cards = read()
-            rest = [c for c in cards.columns if c != "id"]
-            cards = cards.filter((F.col("source") == source) & F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct(*rest)).alias("r")).select("id", "r.*")
-            cards, found = observed(cards.withColumn("__in", F.coalesce(in_band, F.lit(False))), f"cards-{source}", seen=F.count("*"), skipped=F.count_if(~F.col("__in")))
+            cards = cards.filter((F.col("source") == source) & F.col("id").isNotNull()).withColumn("__in", F.coalesce(in_band, F.lit(False)))
+            once(cards)  # rows that have no order are their source's error, too
+            cards, found = observed(cards, f"cards-{source}", n=F.count("*"))
         except PySparkException as failure:  # this source's alone
             counts["error"] = type(failure).__name__
             outcome.errors.append(f"{source}: {type(failure).__name__}")
             continue
-        counts |= found
-        if not found["seen"] and live.get(source):
+        if not found["n"] and live.get(source):
             counts["error"] = "silent"
             outcome.errors.append(f"{source}: no rows, {live[source]} live ones before")
             continue
-        batches.append(cards.filter("__in").drop("__in"))
+        batches.append(cards)
     clean = [s for s, c in outcome.per_source.items() if c["error"] is None]
     if batches:
-        batch = reduce(DataFrame.unionByName, batches)
+        batch, told = counted(once(reduce(DataFrame.unionByName, batches)), "cards", **tally("seen", clean, F.lit(True)), **tally("skipped", clean, ~F.col("__in")))
+        batch = batch.filter("__in").drop("__in")
         if details is not None:
             batch = overlaid(batch, details, list(detail_columns))
         merged = upsert(stored, batch, now, (*FACTS, "source"), FILLED)
-        tell = {f"{action}|{s}": F.count_if((F.col("action") == action) & (F.col("source") == s)) for action in ("inserted", "updated", "unchanged") for s in clean}
-        merged, acted = observed(merged, "upsert", **tell)
-        for key, n in acted.items():
-            action, source = key.split("|", 1)
-            outcome.per_source[source]["new" if action == "inserted" else action] = n
+        done = lambda name, action: tally(name, clean, F.col("action") == action)
+        merged, acted = observed(merged, "upsert", **done("new", "inserted"), **done("updated", "updated"), **done("unchanged", "unchanged"))
+        for key, n in (told.get | acted).items():
+            name, source = key.split("|", 1)
+            outcome.per_source[source][name] = int(n)
         outcome.rows = merged.drop("action")
     if clean:
         outcome.rows = mark_unlisted(outcome.rows, clean, now, stale_days)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearth.operators import ingest as I
 from hearth.plans.q_dedupe import _NEW, _OLD
 from hearth.plans.registry import query
-from hearth.session import shared_dir, table
+from hearth.session import settle, shared_dir, table
 from hearth.sources.listings import WITH_LISTINGS, listings
 
 NOW, BROKEN, SILENT = "2001-08-01", "s3", "s4"
@@ -18,7 +18,8 @@ _OLD_ROWS, _NEW_ROWS = _OLD.replace("SELECT id,", "SELECT id, source,"), _NEW.re
 
 def _outcome(spark, sf_dir):
     """A run over eight sources: one fails in its tasks, one lists nothing, details add a size."""
-    rows = listings(spark, sf_dir)
+    needed = ["id", "source", "title", "price_month_idr", "availability", "build_m2", "land_m2", "furniture_quality", "last_seen", "removed_at", "merged_into", "linenumber", "quantity"]
+    rows = settle(listings(spark, sf_dir, dealt=True).select(*needed), "listings")  # once for all sources
     sql = lambda text: spark.sql(text.replace("FROM L", "FROM {rows}"), rows=rows)
     stored = sql(_OLD_ROWS).withColumn("history", F.array().cast("array<struct<day:date,price:bigint>>"))
     cards = sql(_NEW_ROWS)

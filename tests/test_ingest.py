@@ -65,3 +65,24 @@ def test_pass_on_demand(spark, sf, tmp_path):
     assert {(r["keep"], r["gone"]) for r in merges.collect()} == want and [tuple(r) for r in left.collect()] == [("x", "y")]
     row = log.rows().first()
     assert (row["kind"], row["gone"], row["notes"][0]) == ("duplicates", len(want), "run by ann")
+
+
+def test_the_listings_are_worked_out_once_for_all_sources(spark, sf, monkeypatch):
+    """Each reader went through the line items of its own accord."""
+    seen = []
+
+    def run(log, run_id, stored, readers, *rest, details, **more):
+        seen.extend([stored, details, *[r() for r in readers.values()]])
+
+    monkeypatch.setattr(q_ingest.I, "run", run)
+    q_ingest._outcome(spark, sf)
+    assert len(seen) == 10 and not [f for df in seen for f in df.inputFiles() if "lineitem" in f]
+
+
+def test_cards_are_dealt_by_id_once(spark):
+    """By id for the last card of each, and then again for the upsert, before."""
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, source string, price int")
+    cards = I.once(rows(("a", "s", 1), ("a", "s", 3), ("a", "s", 2), ("a", "t", 9), ("b", "s", None)))
+    assert sorted((r["id"], r["source"], r["price"] or 0) for r in cards.collect()) == [("a", "s", 3), ("a", "t", 9), ("b", "s", 0)]
+    both = cards.hint("merge").join(rows(("a", "s", 1)).withColumnRenamed("source", "other"), "id", "full_outer")
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
