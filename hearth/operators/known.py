@@ -18,6 +18,8 @@ BLOCK = 32_768
 ROOM, SET = 16, 4
 #: Blocks of a filter that is sent to all tasks, at most (64 MB): beyond it the archive is shuffled as it is.
 SENT = 16_384
+#: Blocks whose ids one task gathers, and groups whose rooms are sent to all tasks, at most.
+DEALT, FEW = 512, 100_000
 
 
 def archive_group(file: Column, inside: Column) -> Column:
@@ -47,11 +49,23 @@ def sizes(ids: DataFrame) -> DataFrame:
     return ids.groupBy("group").agg(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), n)))).cast("long").alias("blocks"))
 
 
+def _named(rows: DataFrame, room: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """Adds blocks and block. few: a join by group alone would put a group's rows into one task, so the rooms of few groups are sent."""
+    return rows.join(F.broadcast(room) if few else room, "group", how).withColumn("block", _block(F.col("blocks")))
+
+
 def bloom(ids: DataFrame, room: DataFrame | None = None) -> DataFrame:
-    """group, blocks, block, bits: the filter of (group, id). room: group, blocks of a filter that this one is to be merged with."""
-    room = sizes(ids) if room is None else room
-    rows = ids.join(room, "group").select("group", "blocks", _block(F.col("blocks")).alias("block"), F.explode(F.array(*_bits())).alias("bit"))
-    return rows.groupBy("group", "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    """group, blocks, block, bits: the filter of (group, id). room: group, blocks of a filter that this one is to be merged with.
+
+    The ids of DEALT blocks, some 1,000 each at most, are a task's share: bitmaps are aggregated by sorting, which would
+    take as much memory as there is for whatever a task holds.
+    """
+    room = settle(sizes(ids) if room is None else room, "rooms")
+    groups, blocks = room.agg(F.count("*"), F.coalesce(F.sum("blocks"), F.lit(0))).first()
+    rows = _named(ids, room, groups <= FEW).select("group", "blocks", "block", *[bit.alias(f"b{i}") for i, bit in enumerate(_bits())])
+    by = ["group", "blocks", "block"]
+    each = rows.repartition(max(1, -(-blocks // DEALT)), *by).groupBy(*by).agg(*[F.bitmap_construct_agg(f"b{i}").alias(f"b{i}") for i in range(SET)])
+    return each.select(*by, F.explode(F.array(*[f"b{i}" for i in range(SET)])).alias("bits")).groupBy(*by).agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
 def merged(*filters: DataFrame) -> DataFrame:
@@ -75,7 +89,8 @@ def _has(bits: Column, place: Column) -> Column:
 def asked(rows: DataFrame, filters: DataFrame, send: bool = False) -> DataFrame:
     """Adds maybe: whether (group, id) may be in the filter. send: the filter is small enough for all tasks."""
     hint = F.broadcast if send else (lambda df: df)
-    keyed = rows.join(hint(rooms(filters)), "group", "left").withColumn("block", _block(F.col("blocks")))
+    room = rooms(filters)
+    keyed = _named(rows, room, send or room.count() <= FEW, "left")
     keyed = keyed.join(hint(filters.select("group", "block", "bits")), ["group", "block"], "left")
     found = F.col("bits").isNotNull()
     for place in _bits():

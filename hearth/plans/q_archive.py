@@ -20,7 +20,7 @@ def ids_not_archived(spark, sf_dir):
     posts = table(spark, sf_dir, "lineitem").selectExpr(f"{_GROUP} AS `group`", f"{_ID} AS id", "l_partkey AS part", "l_shipdate AS at")
     archive = posts.filter("at < TIMESTAMP_NTZ'1999-06-01'")
     # two runs' filters, of one size, merged: what a collecting run keeps between its nights
-    room = K.sizes(archive)
+    room = settle(K.sizes(archive), "rooms")
     early, late = (K.bloom(archive.filter(when), room) for when in ("at < TIMESTAMP_NTZ'1997-01-01'", "at >= TIMESTAMP_NTZ'1997-01-01'"))
     return K.unknown(posts.filter("at >= TIMESTAMP_NTZ'1998-06-01'"), archive, settle(K.merged(early, late), "filter")).select("group", "id", "part")
 

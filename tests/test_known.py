@@ -53,3 +53,19 @@ def test_archive_is_pruned_before_its_shuffle(spark):
 def test_groups_of_files(spark):
     rows = spark.createDataFrame([("/a/posts-77-auto.json", "1", "a"), ("/a/posts-final-x.json", "9", "b"), ("/a/posts-final-x.json", None, "c"), ("/a/other.json", "1", "d"), ("/a/posts-77-b.json", None, None), ("/a/posts-77-b.json", None, "a")], "file string, group_id string, post_id string")
     assert sorted(map(tuple, K.archived_ids(rows).collect())) == [("77", "a"), ("9", "b")]
+
+
+def test_one_large_group_is_dealt_over_tasks(spark):
+    """Ids met their group's room in a join by group alone, so one task held all ids of a group, each four times."""
+    held = lambda df: df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    ids = spark.range(200_000).select(F.concat(F.lit("g"), (F.col("id") % 1).cast("string")).alias("group"), F.col("id").cast("string").alias("id"))
+    filters = K.bloom(ids)
+    assert {r["blocks"] for r in K.rooms(filters).collect()} == {256} and filters.count() == 256 and K.asked(ids, filters).filter("not maybe").isEmpty()
+    small, K.DEALT = K.DEALT, 16
+    try:
+        dealt = K.bloom(ids)
+        assert held(dealt) < 64 and dealt.exceptAll(filters).isEmpty()
+    finally:
+        K.DEALT = small
+    plan = K.asked(ids, filters)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
