@@ -45,3 +45,11 @@ def test_first_users_that_arrive_late(spark, tmp_path):
     rows = [(1000 + (i * 37) % 100, at + timedelta(minutes=i), i % 3) for i in range(100)]
     got, want = over(spark, tmp_path, "stream_first_users", events=events(spark, rows))
     assert got == want
+
+
+def test_vectors_that_are_copies(spark, tmp_path):
+    """Every row of a repeated vector has its pairs, not only the one with the smallest id."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("vec_id < 60")
+    copies = rows.unionByName(rows.filter("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 5000)).unionByName(rows.filter("vec_id < 3").withColumn("vec_id", F.col("vec_id") + 9000))
+    got, want = over(spark, tmp_path, "hamming_pairs", embeddings=copies)
+    assert got == want and sum(want[1].values()) > 100
