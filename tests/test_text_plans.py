@@ -53,3 +53,12 @@ def test_least_stays_and_distances_as_tokens_say(spark):
     near = rows.select("t", T.beach_km(F.col("t")).alias("got"), T.typed(F.col("t"), in_km).alias("want")).filter("want is not null")
     assert near.count() > 10
     assert near.filter("not (got <=> want)").collect() == []
+
+
+def test_texts_are_dealt_over_tasks(spark, sf):
+    """A table in one row group is read by one task: its texts went through that task, however many there were."""
+    for name, pattern in (("rent_in_text", "(?:Z|[N1n]d?[MbYt]|[MbYtOo])"), ("posts_to_listings", "see more")):
+        lines = plan(QUERIES[name](spark, sf)).splitlines()
+        dealt = [i for i, line in enumerate(lines) if "RepartitionByExpression [id" in line]
+        # the outer steps of a plan are printed first
+        assert dealt and max(i for i, line in enumerate(lines) if pattern in line) < dealt[0]
