@@ -75,6 +75,19 @@ def test_titles_are_not_sent_by_row(spark, sf, find, most):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_no_side_that_grows_with_the_rows_is_sent_whole(spark, sf):
+    """Kept rows are small as compressed files, so they went through the driver to every executor, many times their size."""
+    rows = D._numbered(D.prepared(Q.signal_rows(spark, sf).withColumn("url", F.col("id"))))
+    titles, sets = D.titles_of(rows)
+    pairs = rows.select(F.col("rid").alias("a"), (F.col("rid") + 1).alias("b"), (F.col("rid") % 7).alias("ta"), (F.col("rid") % 5).alias("tb"))
+    dice = pairs.select(F.col("ta").alias("x"), F.col("tb").alias("y"), F.lit(0.5).alias("dice")).distinct()
+    merges = rows.filter("merged_into is not null").select(F.col("merged_into").alias("keep"), F.col("id").alias("gone"))
+    found = [D.with_both(pairs, rows), D.with_dice(pairs, dice), D.verified(pairs, sets, 0.6), D.light(rows, titles, sets), D.apply_merges(rows, merges, ["land_m2"], "2001-08-01")]
+    for df in found:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_gaps_look_for_the_best_pairs_only(spark, sf, monkeypatch):
     asked = []
 
